@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, pii, simhash, suffix_tree, toxicity, url_filter
+from . import decontaminate, embedding_dedup, html_text, pii, simhash, suffix_tree, toxicity, url_filter
 from .common import table
 
 URL_RULES = url_filter.rules("block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/")
@@ -31,6 +31,10 @@ def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", suffix_tree.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -63,6 +67,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_decontaminate": op3_decontaminate,
     "op4_suffix_tree": op4_suffix_tree,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_html_text": op10_html_text,
@@ -85,4 +90,13 @@ ORACLE_SQL = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(all_items, '')) AS items_sha256,
             coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op6_embedding_dedup": """
+        WITH RECURSIVE links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.93),
+        reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+        counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM least LEFT JOIN counts USING (vec_id)""",
 }
