@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -113,8 +113,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return leaves.union(now.select("lo", "lo").distinct())
 
 
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest node that each of n nodes reaches by the links i, j."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[i], label[j])
+        for ends in (label[i], label[j], i, j):
+            np.minimum.at(label, ends, low)
+        label = label[label]
+        if (label == before).all():
+            return label
 
 
 def filter_texts(df: DataFrame, make: Callable) -> DataFrame:

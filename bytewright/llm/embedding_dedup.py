@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, forest, materialize
 
 #: Vectors in a block; a group of work has two.
 BLOCK = 2048
@@ -104,21 +104,6 @@ def _products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, run: i
     return np.concatenate([np.einsum("nd,nd->n", a[i[k : k + run]], b[j[k : k + run]]) for k in range(0, len(i), run)] or [np.zeros(0)])
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest node that each of n nodes reaches by the links i, j."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, label[i].copy(), low)
-        np.minimum.at(label, label[j].copy(), low)
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def class_links(classes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(kind, a, b): kind n: b vectors outside the class a are linked to it; kind e: an edge of the classes a and b.
 

@@ -21,9 +21,10 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import map_texts, slices
 
 #: The base kinds in their order, then those of the model.
 BASE = ("email", "ip", "card", "phone")
@@ -276,13 +277,23 @@ def find(text: str, weights: dict[str, float]) -> tuple[list[Span], list[Span]]:
     return base, sorted(chosen, key=lambda s: (KINDS.index(s.kind), s.start))
 
 
+def replacements(spans: list[Span]) -> list[tuple[int, int, str]]:
+    """(start, end, <kind>) for spans; those that overlap become one, of the kind that begins first."""
+    out: list[tuple[int, int, str]] = []
+    for span in sorted(spans, key=lambda s: (s.start, -s.end)):
+        if out and span.start < out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], span.end), out[-1][2]
+        else:
+            out.append((span.start, span.end, f"<{span.kind}>"))
+    return out
+
+
 def redacted(text: str, spans: list[Span]) -> str:
-    """The text with <kind> in the place of each span; spans that overlap become one, of the kind that begins first."""
+    """The text with <kind> in the place of each span."""
     out, at = [], 0
-    for span in sorted(spans, key=lambda s: (s.start, -s.end)):
-        if span.start >= at:
-            out += [text[at : span.start], f"<{span.kind}>"]
-        at = max(at, span.end)
+    for start, end, new in replacements(spans):
+        out += [text[at:start], new]
+        at = end
     return "".join(out) + text[at:]
 
 
@@ -314,17 +325,13 @@ def spans_of(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFr
 
 def redact(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """docs with personal data in text replaced by <kind> and n_chars, where there is such a column, counted anew."""
-    import pyarrow as pa
-
-    from .common import CHUNK_BYTES, slices
-
     weights = train() if weights is None else weights
     at = docs.columns.index("text")
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            for part in slices(batch, at, CHUNK_BYTES):
+            for part in slices(batch, at):
                 texts = [t if t is None else redacted(t, [*b, *x]) for t in part.column(at).to_pylist() for b, x in [find(t, weights) if t else ((), ())]]
                 columns = list(part.columns)
                 columns[at] = pa.array(texts, part.schema.field(at).type)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, html_text, pii, simhash, suffix_tree, toxicity, url_filter
+import corpus_pipeline
+
+from . import decontaminate, embedding_dedup, html_text, mixing, pii, simhash, suffix_tree, token_counts, toxicity, url_filter
 from .common import table
 
 URL_RULES = url_filter.rules("block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/")
@@ -31,10 +33,24 @@ def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", suffix_tree.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document as it is and after its personal data has been replaced."""
+
+    def redactions(text: str) -> list[tuple[int, int, str]]:
+        return pii.replacements(pii.base_spans(text))
+
+    return token_counts.counted(table(spark, sf_dir, "documents"), redactions)
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"), corpus_pipeline.MIX_DIMENSIONS, corpus_pipeline.MIX_TARGETS, corpus_pipeline.MIX_SHARE)
+    return found.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("weight"), F.col("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -67,10 +83,13 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_decontaminate": op3_decontaminate,
     "op4_suffix_tree": op4_suffix_tree,
+    "op5_token_counts": op5_token_counts,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_html_text": op10_html_text,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {

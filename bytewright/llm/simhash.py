@@ -1,26 +1,36 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked through pigeonhole blocks.
 
-Fingerprints that differ in at most ``distance`` bits agree in at least ``blocks - distance`` of ``blocks`` equal
-blocks. Each distinct fingerprint is therefore keyed by every choice of that many blocks, equal keys are joined and
-the Hamming distance is verified inside the join. Equal fingerprints are collapsed first, so a group of copies of
-any size is one row in the join. A key that more than ``bucket`` distinct fingerprints share would cost a
-quadratic number of comparisons; its fingerprints are linked exactly in another way instead: two fingerprints that
-agree on the key lie within two bits of each other if and only if flipping at most one of the other bits of each
-leads to a common value, so each meets the others at those values (distance 2 or less only).
+Fingerprints that differ in at most ``distance`` bits agree in at least ``blocks - distance`` of ``blocks`` blocks.
+Each distinct fingerprint is therefore keyed by every choice of that many blocks, equal keys are joined and the Hamming
+distance is verified inside the join. Equal fingerprints are collapsed first, so a group of copies of any size is one
+row in the join. More blocks give longer keys: their number follows the number of fingerprints, so that by chance a
+few share a key, however many there are.
+
+A key that more than ``bucket`` distinct fingerprints share (a large group of near copies) is not joined, as that would
+emit a quadratic number of pairs. Its fingerprints are linked exactly in another way. For two bits: fingerprints lie
+within two bits of each other if and only if changing at most one bit of each leads to a common value, so each meets the
+others at those values. For more bits: the bucket is dealt into parts, each pair of parts is compared as one bounded
+group of work, and only a spanning forest of the links is returned.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_texts, materialize
+from .common import connected_components, forest, map_texts, materialize
 
 BITS = 64
+#: Choices of blocks up to which a pair that several of them find is emitted once only.
+FEW = 12
+#: Fingerprints of a crowded bucket in a part; a group of work has two.
+PART = 4096
 #: Shingles whose bits are counted together.
 RUN = 1 << 15
 
@@ -47,42 +57,85 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return map_texts(docs, ["doc_id", "text"], lambda: lambda c: [c[0], [fingerprint(t, width) for t in c[1]]], "doc_id long, fp long")
 
 
-def links(fps: DataFrame, distance: int = 2, blocks: int = 4, bucket: int = 1000) -> DataFrame:
-    """Edges (a, b) between distinct values of the column fp; every pair within distance is connected by them."""
-    if BITS % blocks or distance >= blocks:
-        raise ValueError("blocks must divide 64 and be more than distance")
-    width = BITS // blocks
-    kept = list(combinations(range(blocks), blocks - distance))
-    masks = [sum(((1 << width) - 1) << (BITS - width * (b + 1)) for b in chosen) for chosen in kept]
-    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+def blocks_for(n: int, distance: int) -> int:
+    """The fewest blocks with keys so long that some 16 of n fingerprints share one by chance at most."""
+    blocks = distance + 2
+    while (blocks - distance) * BITS / blocks < math.log2(max(n, 2)) - 4 and blocks < 2 * distance + 2:
+        blocks += 1
+    return blocks
+
+
+def signed(value: int) -> int:
+    return value - (1 << BITS) if value >> (BITS - 1) else value
+
+
+def links(fps: DataFrame, distance: int = 2, blocks: int | None = None, bucket: int = 1000) -> DataFrame:
+    """Edges (a, b) between distinct values of the column fp; every pair within distance is connected by them.
+
+    blocks: None to choose by the number of fingerprints.
+    """
+    blocks = blocks or blocks_for(fps.count(), distance)
+    if not distance < blocks <= BITS:
+        raise ValueError("there must be more blocks than differing bits, and 64 at most")
+    edges = [BITS * b // blocks for b in range(blocks + 1)]
+    kept = combinations(range(blocks), blocks - distance)
+    masks = [sum((1 << edges[b + 1]) - (1 << edges[b]) for b in chosen) for chosen in kept]
     fp = F.col("fp")
-    keys = F.array(*[F.struct(F.lit(i).alias("choice"), fp.bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
-    keyed = fps.select("fp").select("fp", F.explode(keys).alias("k")).select("fp", "k.choice", "k.key")
-    hot = materialize(keyed.groupBy("choice", "key").count().where(F.col("count") > bucket).select("choice", "key"), "hot-buckets")
-    normal = keyed.join(hot, ["choice", "key"], "left_anti") if hot.take(1) else keyed
+    keys = F.array(*[F.struct(F.lit(i).alias("choice"), fp.bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(masks)])
+    keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.choice", "k.key")
+    hot = materialize(keyed.groupBy("choice", "key").count().where(F.col("count") > bucket), "hot-buckets")
+    crowded = bool(hot.take(1))
+    normal = keyed.join(hot.select("choice", "key"), ["choice", "key"], "left_anti") if crowded else keyed
     x, y = normal.alias("x"), normal.alias("y")
     apart = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
-    same = (F.col("x.choice") == F.col("y.choice")) & (F.col("x.key") == F.col("y.key"))
-    # a pair that agrees on several choices of blocks is kept at the first one only
-    sooner = F.lit(False)
-    for i, m in enumerate(signed):
-        sooner = sooner | ((F.col("x.choice") > i) & (apart.bitwiseAND(F.lit(m)) == 0))
-    first = ~sooner if not hot.take(1) else F.lit(True)
-    near = x.join(y, same & (F.col("x.fp") < F.col("y.fp")) & (F.bit_count(apart) <= distance) & first).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    if not hot.take(1):
-        return near
-    if distance > 2:
-        raise ValueError("a bucket is larger than the bound, and the exact way beyond it is for two bits")
-    crowded = keyed.join(hot, ["choice", "key"], "left_semi")
+    near = (F.col("x.choice") == F.col("y.choice")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.bit_count(apart) <= distance)
+    if not crowded and len(masks) <= FEW:
+        for i, m in enumerate(masks):  # a pair is emitted at the first choice that it agrees on
+            near = near & ~((F.col("x.choice") > i) & (apart.bitwiseAND(F.lit(signed(m))) == 0))
+    found = x.join(y, near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    if not crowded:
+        return found
+    rest = keyed.join(hot, ["choice", "key"])
+    return found.union(_met(rest, masks) if distance <= 2 else _compared(rest, distance))
+
+
+def _met(crowded: DataFrame, masks: list[int]) -> DataFrame:
+    """Edges within two bits of each other among fingerprints that share a key, by the values they meet at."""
     free = [[0] + [1 << b for b in range(BITS) if not m >> b & 1] for m in masks]
-    flips = F.element_at(F.array(*[F.array(*[F.lit(v - (1 << BITS) if v >> (BITS - 1) else v) for v in values]) for values in free]), F.col("choice") + 1)
-    met = crowded.select("fp", "choice", F.explode(flips).alias("flip")).select("fp", "choice", fp.bitwiseXOR(F.col("flip")).alias("at"))
+    flips = F.element_at(F.array(*[F.array(*[F.lit(signed(v)) for v in values]) for values in free]), F.col("choice") + 1)
+    met = crowded.select("fp", "choice", F.explode(flips).alias("flip")).select("fp", "choice", F.col("fp").bitwiseXOR(F.col("flip")).alias("meeting"))
     # at most 65 distinct fingerprints meet at a value
-    group = met.groupBy("choice", "at").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
-    return near.union(group.select("a", F.explode("all").alias("b")).where("a <> b"))
-
-
-def components(docs: DataFrame, width: int = 3, distance: int = 2, blocks: int = 4, bucket: int = 1000) -> DataFrame:
+    group = met.groupBy("choice", "meeting").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("every")).where(F.size("every") > 1)
+    return group.select("a", F.explode("every").alias("b")).where("a <> b")
+
+
+def _compared(crowded: DataFrame, distance: int) -> DataFrame:
+    """Edges of a spanning forest of the links among fingerprints that share a key, by pairs of parts."""
+    parts = F.ceil(F.col("count") / PART).cast("int")
+    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    # a part meets itself and every other part of its bucket
+    rows = crowded.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+
+    def compare(group: pa.Table) -> pa.Table:
+        fp, own = (group.column(c).to_numpy() for c in ("fp", "own"))
+        order = np.argsort(fp)
+        fp, own = fp[order].astype(np.int64).view(np.uint64), own[order]
+        first = np.nonzero(own == own.min())[0]
+        second = np.nonzero(own == own.max())[0]
+        i, j = [], []
+        for k in range(0, len(first), 256):
+            a, b = np.nonzero(np.bitwise_count(fp[first[k : k + 256], None] ^ fp[None, second]) <= distance)
+            i.append(first[k + a])
+            j.append(second[b])
+        root = forest(len(fp), np.concatenate(i), np.concatenate(j))
+        ends = np.nonzero(root != np.arange(len(fp)))[0]
+        return pa.table({"a": pa.array(fp[root[ends]].view(np.int64)), "b": pa.array(fp[ends].view(np.int64))})
+
+    return rows.select("choice", "key", low, high, "fp", "own").groupBy("choice", "key", "low", "high").applyInArrow(compare, "a long, b long")
+
+
+def components(docs: DataFrame, width: int = 3, distance: int = 2, blocks: int | None = None, bucket: int = 1000) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs.
 
     component_id is the smallest doc_id that can be reached by links, the document's own included. Null texts, empty
@@ -91,7 +144,7 @@ def components(docs: DataFrame, width: int = 3, distance: int = 2, blocks: int =
     docs are not read. An empty table gives no rows.
     """
     fps = materialize(fingerprints(docs, width), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     roots = materialize(connected_components(links(classes, distance, blocks, bucket)), "roots")
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "rooted")
