@@ -12,7 +12,7 @@ NEWLINE = rx("\r?\n")
 def fasta() -> RecordParser:
     """>identifier description, then lines of the sequence."""
     identifier = rx("[^ \t\r\n>][^ \t\r\n]*").on_enter("mark").on_exit("identifier")
-    description = rx("[^\r\n]+").on_enter("mark").on_exit("description")
+    description = rx("[^ \t\r\n][^\r\n]*").on_enter("mark").on_exit("description")
     line = rx("[A-Za-z*\\-]+").on_enter("mark").on_exit("sequence")
     record = cat(">", identifier, opt(cat(rx("[ \t]+"), description)), NEWLINE, rep(cat(opt(line), NEWLINE)))
     steps = {"mark": Mark(), "identifier": Capture("identifier"), "description": Capture("description"), "sequence": Append("sequence"), "record": Emit()}
