@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 #: Cells that are fitted on the driver and broadcast at most.
 LOCAL_CELLS = 50_000
@@ -84,7 +84,7 @@ def factor(mass: np.ndarray, scale: np.ndarray, budget: float) -> float:
     full = np.concatenate(([0.0], np.cumsum(m)))[:-1]  # mass of the cells before, all of it taken
     open_ = np.cumsum((m * s)[::-1])[::-1]
     c = np.divide(budget - full, open_, out=np.full(len(m), np.inf), where=open_ > 0)
-    fits = np.nonzero(c * s <= 1 + 1e-12)[0]
+    fits = np.nonzero((s > 0) & (np.where(s > 0, c, 0) * s <= 1 + 1e-12))[0]
     return float(c[fits[0]])
 
 
@@ -165,17 +165,18 @@ def mix(docs: DataFrame, dims: dict[str, Callable | None], targets: dict[str, Ta
     dims: for each dimension None, if docs has a column of that name, or what makes it from the text. share: of all tokens that are expected in the sample. Documents without
     tokens (null or empty texts) have the weight of their cell, 0 where the cell has no tokens at all. Null values of
     a dimension are a value of their own. Rows that share an id are drawn together, those without an id too. The
-    columns of docs stay as they are; an empty table gives no rows.
+    columns of docs stay as they are, but for columns of those names; an empty table gives no rows.
     """
     inner = {f"mix_{name}": make(F.col("text")) if make else F.col(name) for name, make in dims.items()}
     read = docs.withColumns(inner | {"mix_tokens": n_tokens(F.col("text"))})
     by_inner = {f"mix_{name}": target for name, target in targets.items()}
     found = weights(read.select(*by_inner, F.col("mix_tokens").alias("n_tokens")), by_inner, share)
-    renamed = found.toDF(*[f"cell_{c}" for c in found.columns])
+    own = {c: fresh(f"cell_{c}", docs) for c in found.columns}
+    renamed = found.toDF(*own.values())
     same = None
     for name in by_inner:
-        one = F.col(name).eqNullSafe(F.col(f"cell_{name}"))
+        one = F.col(name).eqNullSafe(F.col(own[name]))
         same = one if same is None else same & one
-    joined = read.join(renamed, same, "left").withColumn("mix_weight", F.coalesce("cell_weight", F.lit(0.0)))
+    joined = read.join(renamed, same, "left").withColumn("mix_weight", F.coalesce(own["weight"], F.lit(0.0)))
     joined = joined.withColumn("mix_probability", F.least(F.lit(1.0), "mix_weight")).withColumn("mix_kept", uniform(F.col("doc_id"), seed) < F.col("mix_probability"))
-    return joined.drop(*[f"cell_{c}" for c in found.columns])
+    return joined.drop(*own.values())

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, forest, map_texts, materialize
+from .common import connected_components, forest, fresh, map_texts, materialize
 
 BITS = 64
 #: Choices of blocks up to which a pair that several of them find is emitted once only.
@@ -163,10 +163,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Of repeated rows with that id one stays. Rows whose doc_id is null can't be told apart and all stay.
     """
-    found = components(docs, **options)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    chosen = docs.join(kept, docs["doc_id"] == kept["kept_id"]).drop("kept_id")
-    chosen = chosen.withColumn("kept_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("kept_rank = 1").drop("kept_rank")
+    kept_id, rank = fresh("kept_id", docs), fresh("kept_rank", docs)
+    kept = components(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
+    chosen = docs.join(kept, F.col("doc_id") == F.col(kept_id)).drop(kept_id)
+    chosen = chosen.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where(F.col(rank) == 1).drop(rank)
     return chosen.union(docs.where("doc_id is null"))
-
-
