@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from bytewright import formats
 from bytewright.functions import columns as B
+from bytewright.functions.sql import register
 from bytewright.operators import explain
 from bytewright.operators.records import Capture, Emit, Mark, RecordParser, parse_records
 from bytewright.operators.tokens import Tokenizer, tokenize
 from bytewright.plans.automata import compile_regex
 from bytewright.plans.regex import Regex, byte, byte_range, byte_set, cat, literal, opt, rep, rep1, rx, space
-from bytewright.streaming.chunks import chunked, final_states
+from bytewright.streaming.chunks import chunked, final_states, first_errors
 
 ASCII = rx("[\\x00-\\x7f]*")
 WORDS = Tokenizer([("word", "[A-Za-z]+"), ("number", "[0-9]+"), ("blank", "[ \t\n]+")])
@@ -162,6 +163,19 @@ def resume_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("stream_id").cast("long").alias("doc_id"), "accepted")
 
 
+def errors_in_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """first_error() of documents that are read in chunks, each of them by itself."""
+    found = first_errors(chunked(table(spark, sf_dir, "documents"), "doc_id", "text", 1000), ASCII)
+    return found.select(F.col("stream_id").cast("long").alias("doc_id"), F.col("position").cast("int").alias("err"))
+
+
+def sql_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function in SQL."""
+    register(spark)
+    table(spark, sf_dir, "supplier").createOrReplaceTempView("fsm_suppliers")
+    return spark.sql("SELECT s_suppkey, t.seq, t.start, t.len, t.token FROM fsm_suppliers, LATERAL fsm_tokens(s_name, array('[A-Za-z]+', '#', '[0-9]+')) t")
+
+
 FASTA_SHAPE = rx("(>[a-z]+\n([ACGT]+\n)+)*")
 
 
@@ -182,7 +196,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for
     f.__name__: f
     for f in (
         first_error_ascii, error_location_ascii, status_props, validate_lines, tokenize_words, token_rows, token_histogram, token_top_words, token_join_labels, tokenize_html,
-        parse_url, parse_props, parse_part_brand, parse_customer_number, line_records, action_log, resume_chunks, machine_edges, machine_states, trace_part_names,
+        parse_url, parse_props, parse_part_brand, parse_customer_number, line_records, action_log, resume_chunks, errors_in_chunks, sql_tokens, machine_edges, machine_states, trace_part_names,
     )
 }
 
@@ -218,6 +232,11 @@ ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in MATCHES.items()} |
         SELECT p_partkey, CASE WHEN regexp_full_match(p_type, '[A-Z]+( [A-Z]+)*') THEN 'ok' ELSE 'error' END AS status,
             array_to_string(list_transform(string_split(p_type, ' '), lambda w: CASE WHEN w IN ('ECONOMY', 'STANDARD', 'PROMO', 'SMALL', 'MEDIUM', 'LARGE') THEN 'keyword' ELSE 'word' END), ',') AS log FROM part""",
     "resume_chunks": r"SELECT doc_id, regexp_full_match(text, '(?s)[\x00-\x7f]*') AS accepted FROM documents",
+    "errors_in_chunks": f"SELECT doc_id, CASE WHEN strlen({_PREFIX}) = strlen(text) THEN NULL ELSE strlen({_PREFIX}) + 1 END::INTEGER AS err FROM documents",
+    "sql_tokens": """
+        WITH s AS (SELECT s_suppkey, regexp_extract_all(s_name, '[A-Za-z]+|#|[0-9]+') AS ts FROM supplier), u AS (SELECT s_suppkey, unnest(ts) AS t, generate_subscripts(ts, 1) AS seq FROM s)
+        SELECT s_suppkey, seq::INTEGER AS seq, (1 + coalesce(sum(strlen(t)) OVER (PARTITION BY s_suppkey ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start, strlen(t)::INTEGER AS len,
+            CASE WHEN t = '#' THEN 2 WHEN regexp_matches(t, '^[0-9]') THEN 3 ELSE 1 END::INTEGER AS token FROM u""",
     "trace_part_names": r"""
         WITH u AS (SELECT p_partkey, p_name, unnest(range(0, length(p_name) + 1)) AS k FROM part)
         SELECT p_partkey, k::INTEGER AS at, CASE WHEN k < length(p_name) THEN ascii(p_name[k + 1]) END::SMALLINT AS byte, CASE WHEN k = length(p_name) THEN 0 WHEN p_name[k + 1] = ' ' THEN 1 ELSE 2 END::INTEGER AS state, '' AS actions FROM u""",

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -74,8 +74,14 @@ def final_states(chunks: DataFrame, x: Regex | str) -> DataFrame:
     state is where the machine stands behind the last chunk, 0 if some byte fitted nowhere. The maps of a stream's
     chunks are composed in their order; a map has a number for each state, however large the chunk is.
     """
+    finals = sorted(compiled(plain(x)).finals)
+    state = F.aggregate("maps", F.lit(1), lambda s, m: F.element_at(m["map"], s + 1))
+    return _ordered_maps(chunks, x).select("stream_id", state.alias("state")).withColumn("accepted", F.col("state").isin(finals))
+
+
+def _ordered_maps(chunks: DataFrame, x: Regex | str) -> DataFrame:
+    """(stream_id, maps): struct(chunk_no, map) of a stream's chunks in their order."""
     machine = compiled(plain(x))
-    finals = sorted(machine.finals)
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         program = Program(machine)
@@ -84,9 +90,42 @@ def final_states(chunks: DataFrame, x: Regex | str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["stream_id", "chunk_no", "map"])
 
     mapped = chunks.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("chunk_no").cast("long").alias("chunk_no"), "bytes").mapInArrow(maps, "stream_id string, chunk_no long, map array<int>")
-    ordered = mapped.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "map"))).alias("maps"))
-    state = F.aggregate("maps", F.lit(1), lambda s, m: F.element_at(m["map"], s + 1))
-    return ordered.select("stream_id", state.alias("state")).withColumn("accepted", F.col("state").isin(finals))
+    return mapped.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "map"))).alias("maps"))
+
+
+def start_states(chunks: DataFrame, x: Regex | str) -> DataFrame:
+    """(stream_id, chunk_no, state): where the machine stands before each chunk, 0 behind a byte that fitted nowhere.
+
+    With them every chunk can be run by itself, so one long stream is read by as many tasks as it has chunks.
+    """
+    ordered = _ordered_maps(chunks, x)
+    states = F.aggregate("maps", F.array(F.lit(1)), lambda s, m: F.array_append(s, F.element_at(m["map"], F.element_at(s, -1) + 1)))
+    pairs = F.arrays_zip(F.col("maps.chunk_no").alias("chunk_no"), states.alias("state"))
+    return ordered.select("stream_id", F.explode(pairs).alias("p")).select("stream_id", F.col("p.chunk_no").alias("chunk_no"), F.col("p.state").alias("state")).where("chunk_no is not null")
+
+
+def first_errors(chunks: DataFrame, x: Regex | str) -> DataFrame:
+    """(stream_id, position): of whole streams in chunks what first_error() says of them: null, 0 or a position."""
+    machine = compiled(plain(x))
+    before = start_states(chunks, x)
+    sizes = Window.partitionBy("stream_id").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = chunks.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("chunk_no").cast("long").alias("chunk_no"), "bytes")
+    lengths = numbered.select("stream_id", "chunk_no", F.coalesce(F.octet_length("bytes"), F.lit(0)).alias("n"))
+    offsets = lengths.withColumn("offset", F.coalesce(F.sum("n").over(sizes), F.lit(0))).drop("n")
+    work = numbered.join(before.join(offsets, ["stream_id", "chunk_no"]), ["stream_id", "chunk_no"]).select("stream_id", "state", "offset", "bytes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        program = Program(machine)
+        for batch in batches:
+            out = []
+            for state, offset, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                found = program.run(data or b"", state, is_eof=False) if state else None
+                out.append(offset + found.position if found and found.status == ERROR else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["stream_id", "position"])
+
+    errors = work.mapInArrow(run, "stream_id string, position long").groupBy("stream_id").agg(F.min("position").alias("position"))
+    ends = final_states(chunks, x)
+    return ends.join(errors, "stream_id").select("stream_id", F.when(F.col("state") == 0, F.col("position")).when(~F.col("accepted"), 0).alias("position"))
 
 
 def chunked(df: DataFrame, key: str, text: str, size: int) -> DataFrame:

@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 
 from bytewright import formats
 from bytewright.functions import columns as B
+from bytewright.functions.sql import register
 from bytewright.operators import explain
 from bytewright.operators.records import Append, Capture, Emit, InputError, Mark, RecordParser, parse_records
 from bytewright.operators.tokens import Tokenizer, tokenize
 from bytewright.plans.automata import compile_regex
 from bytewright.plans.regex import RegexError, any_byte, cat, opt, rep, rx
 from bytewright.sources.files import read_files, read_records, write_pieces
-from bytewright.streaming.chunks import chunked, final_states, read_stream
+from bytewright.streaming.chunks import chunked, final_states, first_errors, read_stream
 from tests.test_regex import LOCATIONS, MATCHES, TOKENS, data
 
 
@@ -183,6 +184,24 @@ def test_chunks_of_a_table(texts, size):
     assert [got[i] for i in range(len(rows))] == wanted
 
 
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_errors_in_chunks(texts, size):
+    rows = ["ab\nab\n", "", "ab", "abx\n", "ab\n!", "a" * 20 + "?"]
+    line = rep(rx("[ab]*\n"))
+    got = {int(r.stream_id): r.position for r in first_errors(chunked(texts(rows), "id", "t", size), line).collect()}
+    wanted = values(texts(rows), B.first_error("t", line))
+    assert [got[i] for i in range(len(rows))] == wanted
+
+
+def test_sql(spark, texts):
+    register(spark)
+    texts(["ab ba", "x1", None]).createOrReplaceTempView("some_texts")
+    rows = spark.sql("SELECT id, fsm_match(t, '[a-z]+( [a-z]+)*') AS m, fsm_first_error(t, '[a-z ]*') AS e, fsm_status(t, '[a-z]+1?') AS s FROM some_texts ORDER BY id").collect()
+    assert [(r.m, r.e, r.s) for r in rows] == [(True, None, "error"), (False, 2, "ok"), (None, None, None)]
+    rows = spark.sql("SELECT id, t2.* FROM some_texts, LATERAL fsm_tokens(t, array('[a-z]+', ' ')) t2 ORDER BY id, seq").collect()
+    assert [(r.id, r.start, r.len, r.token) for r in rows] == [(0, 1, 2, 1), (0, 3, 1, 2), (0, 4, 2, 1), (1, 1, 1, 1), (1, 2, 1, 0)]
+
+
 def test_a_stream(spark, tmp_path):
     """Batches of a file stream: FASTA records cut anywhere come out as from the whole text."""
     source = b">seq1 first one\nACGT\nTTGG\n>seq2\nAA\n\nCC\n"
