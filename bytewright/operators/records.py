@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -72,7 +73,7 @@ class RecordParser:
         self.actions = {n: tuple(s) if isinstance(s, (list, tuple)) else (s,) for n, s in actions.items()}
         if set(self.actions) != self.machine.actions:
             raise RegexError(f"the expression has the actions {sorted(self.machine.actions)}, and those given are {sorted(self.actions)}")
-        self.schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        self.schema = _schema(schema) if isinstance(schema, str) else schema
         self.convert = {f.name: _converter(f.dataType.typeName()) for f in self.schema.fields}
         unknown = {s.field for steps in self.actions.values() for s in steps if hasattr(s, "field")} - set(self.convert)
         if unknown:
@@ -104,6 +105,24 @@ class RecordParser:
         return out, now, mark
 
 
+FIELD = re.compile(r"\s*(?:`([^`]+)`|(\w+))\s*:?\s+(\w+)\s*(?:,|$)")
+#: Names of the field types in a schema's text.
+TYPES = {"tinyint": "byte", "smallint": "short", "int": "integer", "bigint": "long", "real": "float"}
+
+
+def _schema(text: str) -> StructType:
+    """Fields from 'name type, ...'; unlike Spark's own parser this needs no session, so executors can use it."""
+    out, at = StructType(), 0
+    while at < len(text):
+        found = FIELD.match(text, at)
+        if not found:
+            raise RegexError(f"a schema is 'name type, ...': {text[at:]!r}")
+        kind = found[3].lower()
+        out = out.add(found[1] or found[2], TYPES.get(kind, kind))
+        at = found.end()
+    return out
+
+
 def _made(value: Any, make: Callable) -> Any:
     return make(value) if isinstance(value, bytes) else value
 

@@ -11,6 +11,7 @@ from bytewright.operators.records import Append, Capture, Emit, InputError, Mark
 from bytewright.operators.tokens import Tokenizer, tokenize
 from bytewright.plans.automata import compile_regex
 from bytewright.plans.regex import RegexError, any_byte, cat, opt, rep, rx
+from bytewright.sources.datasource import register as register_source
 from bytewright.sources.files import read_files, read_records, write_pieces
 from bytewright.streaming.chunks import chunked, final_states, first_errors, read_stream
 from tests.test_regex import LOCATIONS, MATCHES, TOKENS, data
@@ -171,6 +172,23 @@ def test_files(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).first()[0] == "p"
 
 
+@pytest.mark.parametrize("piece", [1, 7, 1000])
+def test_data_source(spark, tmp_path, piece):
+    import gzip
+
+    register_source(spark)
+    (tmp_path / "one.fa").write_bytes(b">x first\nACGT\nAC\n>w\nTT\n")
+    (tmp_path / "two.fa.gz").write_bytes(gzip.compress(b">y z\nGT\n"))
+    reader = spark.read.format("bytewright").option("machine", "fasta").option("piece", piece)
+    rows = reader.load(str(tmp_path)).orderBy("identifier").collect()
+    assert [tuple(r) for r in rows] == [("w", None, "TT"), ("x", "first", "ACGTAC"), ("y", "z", "GT")]
+    (tmp_path / "bad.fa").write_bytes(b">x\n!")
+    with pytest.raises(Exception, match="error at position 4"):
+        reader.load(str(tmp_path)).collect()
+    with pytest.raises(Exception, match="machine"):
+        spark.read.format("bytewright").load(str(tmp_path))
+
+
 CHUNKS = [1, 2, 3, 5, 8, 100]
 
 
