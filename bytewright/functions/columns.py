@@ -6,6 +6,7 @@ expression can be written without backtracking, otherwise by a machine over Arro
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Mapping
 from functools import lru_cache
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from bytewright.functions.runtime import Program, location
 from bytewright.plans.automata import Machine, compile_regex
-from bytewright.plans.native import predicate
+from bytewright.plans.native import is_deterministic, is_regular, java_pattern, predicate
 from bytewright.plans.regex import Regex, RegexError, rx
 
 
@@ -54,6 +55,22 @@ def _over(data: Column, make: Callable[[], Callable], kind: str, arrow: pa.DataT
     return F.arrow_udf(run, kind)(data)
 
 
+def _checker(x: Regex) -> Callable[[], Callable[[bytes], int | None]]:
+    """What makes first_error() in a task. Where the expression is deterministic, Python's own matcher accepts at C
+    speed, and the machine only runs over inputs that it rejects, to say where."""
+    machine = compiled(x)
+    quick = java_pattern(x).encode("ascii") if is_regular(x) and is_deterministic(x) else None
+
+    def make() -> Callable[[bytes], int | None]:
+        program = Program(machine)
+        if quick is None:
+            return program.first_error
+        accepts = re.compile(quick, re.S).fullmatch
+        return lambda data: None if accepts(data) else program.first_error(data)
+
+    return make
+
+
 def matches(text: Column | str, x: Regex | str, *, engine: str = "auto", binary: bool = False) -> Column:
     """Whether the whole text is in the language.
 
@@ -68,30 +85,29 @@ def matches(text: Column | str, x: Regex | str, *, engine: str = "auto", binary:
             return found
         if engine == "native":
             raise RegexError("no pattern decides this expression without backtracking")
-    machine = compiled(wanted)
+    checker = _checker(wanted)
 
     def make() -> Callable:
-        program = Program(machine)
-        return lambda data: program.first_error(data) is None
+        check = checker()
+        return lambda data: check(data) is None
 
     return _over(as_bytes(column, binary), make, "boolean", pa.bool_())
 
 
 def first_error(text: Column | str, x: Regex | str, *, binary: bool = False) -> Column:
     """Null for a match, 0 for an unexpected end, else the position of the first byte that fits nowhere."""
-    machine = compiled(plain(x))
-    return _over(as_bytes(text, binary), lambda: Program(machine).first_error, "int", pa.int32())
+    return _over(as_bytes(text, binary), _checker(plain(x)), "int", pa.int32())
 
 
 def error_location(text: Column | str, x: Regex | str, *, binary: bool = False) -> Column:
     """Null for a match, else struct(byte, line, col) in bytes; the byte is null at an unexpected end."""
-    machine = compiled(plain(x))
+    checker = _checker(plain(x))
 
     def make() -> Callable:
-        program = Program(machine)
+        check = checker()
 
         def one(data: bytes) -> dict | None:
-            found = location(data, program.first_error(data))
+            found = location(data, check(data))
             return found and dict(zip(("byte", "line", "col"), found, strict=True))
 
         return one

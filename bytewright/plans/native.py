@@ -25,7 +25,13 @@ class _Facts:
 
 
 def is_deterministic(x: Regex) -> bool:
-    """Whether x, which has no intersection, difference or negation, is one-unambiguous."""
+    """Whether x, which has no intersection, difference or negation, is one-unambiguous.
+
+    Loops over what may be empty, and alternatives of which several may be, are refused: matchers end a loop at an
+    empty turn, and which alternative takes nothing would matter.
+    """
+    if not _settled(x):
+        return False
     labels: list[int] = []
     follow: dict[int, set[int]] = {}
     none: frozenset[int] = frozenset()
@@ -67,6 +73,13 @@ def is_deterministic(x: Regex) -> bool:
     return disjoint(whole.first) and all(map(disjoint, follow.values()))
 
 
+def _settled(x: Regex) -> bool:
+    parts = [a for a in x.args if isinstance(a, Regex)]
+    if x.kind in ("rep", "rep1") and nullable(parts[0]) or x.kind == "alt" and sum(map(nullable, parts)) > 1:
+        return False
+    return all(map(_settled, parts))
+
+
 def is_regular(x: Regex) -> bool:
     return x.kind in ("set", "cat", "alt", "rep", "rep1", "opt") and all(is_regular(a) for a in x.args if isinstance(a, Regex))
 
@@ -97,7 +110,7 @@ def nullable(x: Regex) -> bool:
         return all(map(nullable, x.args))
     if x.kind == "alt":
         return any(map(nullable, x.args))
-    return x.kind != "rep1" or nullable(x.args[0])
+    return x.kind in ("rep", "opt") or nullable(x.args[0])
 
 
 def predicate(text: Column, x: Regex, is_binary: bool = False) -> Column | None:
@@ -116,8 +129,6 @@ def predicate(text: Column, x: Regex, is_binary: bool = False) -> Column | None:
         return None if part is None else ~part
     if not is_regular(x) or not is_deterministic(x):
         return None
-    if x.kind == "alt" and sum(map(nullable, x.args)) > 1:
-        return None
     # characters stand for bytes where no set has bytes beyond ASCII
     plain = not is_binary and all(s.isdisjoint(HIGH) for s in sets_of(x))
     subject = text if plain else F.decode(text if is_binary else F.encode(text, "UTF-8"), "ISO-8859-1")

@@ -305,6 +305,13 @@ def test_random_expressions_against_python():
     assert native > 20
 
 
+def test_loops_over_nothing_are_left_to_machines():
+    for p in ("(a*|b*)*", "(a?)*", "((a|b?)+)c", "(a*)+"):
+        assert not is_deterministic(rx(p))
+    for p in ("([A-z]*\r?\n)*", "(a|b)*c?", "a?(b|c+d)*"):
+        assert is_deterministic(rx(p))
+
+
 def test_byte_sets():
     sets = [ByteSet(), ByteSet([0]), ByteSet(range(10, 20)), ByteSet([1, 3, 5, 255]), ByteSet(range(128, 256)), ByteSet.all()]
     for a in sets:
