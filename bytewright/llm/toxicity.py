@@ -23,6 +23,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,8 @@ from .common import filter_texts, map_texts
 
 #: Labelled rows that the classifier is fitted on at most.
 SAMPLE = 200_000
+#: Words whose features a task remembers; when they are more, it begins anew.
+REMEMBERED = 1 << 19
 
 # Words of the closed classes, in English, German, French and Spanish.
 TARGETS = frozenset("you your yours yourself they them their he him his she her these those people everyone du dich dir dein deine ihr euch sie ihnen tu te toi ton ta tes vous votre vos eux ils elles tú ti tus usted ustedes vosotros ellos ellas".split())
@@ -131,29 +134,43 @@ def features(word: str) -> list[str]:
     return [word, *("^" + word[:n] for n in range(SHORTEST, min(len(word), LONGEST) + 1))]
 
 
-def evidence(text: str, insults: dict[str, float], machine: Transducer) -> float:
-    """The sum over a text's clauses of what the grammar gives them; 0 without matches."""
-    text = text.lower()
-    words = set(WORD.findall(text))
-    weights: dict[str, float] = {}
-    for word in words:
-        w = max([insults[f] for f in features(word) if f in insults], default=0.0)
-        if w:
-            weights[word] = w
-    if not weights and THREATS.isdisjoint(words):
-        return 0.0
-    total = 0.0
-    for clause in CLAUSE.split(text):
-        found = WORD.findall(clause)
-        if not any(w in weights or w in THREATS for w in found):
-            continue
-        state = 0
-        for word in found:
-            w = weights.get(word, 0.0)
-            kind = INSULT if w else THREAT if word in THREATS else TARGET if word in TARGETS else NEGATION if word in NEGATIONS else REPORT if word in REPORTS else OTHER
-            state, weight, factor = machine.step(state, kind)
-            total += (w + weight) * factor
-    return total
+class Scorer:
+    """Scores texts. Most texts hold no insult or threat at all, which one scan for all of them tells."""
+
+    def __init__(self, insults: dict[str, float], machine: Transducer | None = None) -> None:
+        self.insults, self.machine = insults, machine or grammar()
+        self.tree = ahocorasick.Automaton()
+        for term in [f.removeprefix("^") for f in insults] + sorted(THREATS):
+            self.tree.add_word(term, True)
+        self.tree.make_automaton()
+        self.known: dict[str, float] = {}
+
+    def weight(self, word: str) -> float:
+        """The weight of a word as an insult, or 0."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            found = self.known[word] = max([self.insults[f] for f in features(word) if f in self.insults], default=0.0)
+        return found
+
+    def evidence(self, text: str) -> float:
+        """The sum over a text's clauses of what the grammar gives them; 0 without matches."""
+        text = text.lower()
+        if next(self.tree.iter(text), None) is None:
+            return 0.0
+        total = 0.0
+        for clause in CLAUSE.split(text):
+            found = WORD.findall(clause)
+            weights = [self.weight(w) for w in found]
+            if not any(weights) and THREATS.isdisjoint(found):
+                continue
+            state = 0
+            for word, w in zip(found, weights, strict=True):
+                kind = INSULT if w else THREAT if word in THREATS else TARGET if word in TARGETS else NEGATION if word in NEGATIONS else REPORT if word in REPORTS else OTHER
+                state, weight, factor = self.machine.step(state, kind)
+                total += (w + weight) * factor
+        return total
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
@@ -172,11 +189,20 @@ def _counts(rows: DataFrame, wanted: frozenset | None) -> DataFrame:
     """(feature, n): in how many of the texts each feature occurs; of all features or of those wanted."""
 
     def make() -> Callable:
+        known: dict[str, tuple[str, ...]] = {}
+
+        def of(word: str) -> tuple[str, ...]:
+            found = known.get(word)
+            if found is None:
+                if len(known) > REMEMBERED:
+                    known.clear()
+                found = known[word] = tuple(features(word) if wanted is None else [f for f in features(word) if f in wanted])
+            return found
+
         def step(columns: list[list]) -> list:
             found: Counter = Counter()
             for text in columns[0]:
-                own = {f for w in set(WORD.findall(text.decode("utf-8", "replace").lower())) for f in features(w)}
-                found.update(own if wanted is None else own & wanted)
+                found.update({f for w in set(WORD.findall(text.decode("utf-8", "replace").lower())) for f in of(w)})
             return [list(found), list(found.values())]
 
         return step
@@ -241,10 +267,10 @@ def _curve(rows: DataFrame, insults: dict[str, float], width: float = 0.05) -> t
     """Logistic curve over log(1 + evidence), fitted with a weak prior on a histogram of the training texts."""
 
     def make() -> Callable:
-        machine = grammar()
+        scorer = Scorer(insults)
 
         def step(columns: list[list]) -> list:
-            return [columns[0], [round(math.log1p(evidence(t.decode("utf-8", "replace"), insults, machine)) / width) for t in columns[1]]]
+            return [columns[0], [round(math.log1p(scorer.evidence(t.decode("utf-8", "replace"))) / width) for t in columns[1]]]
 
         return step
 
@@ -260,8 +286,8 @@ def _curve(rows: DataFrame, insults: dict[str, float], width: float = 0.05) -> t
     return float(theta[0]), float(max(theta[1], 0.1))
 
 
-def probability(text: bytes | None, model: Model, machine: Transducer) -> float:
-    found = evidence(text.decode("utf-8", "replace"), model.insults, machine) if text else 0.0
+def probability(text: bytes | None, model: Model, scorer: Scorer) -> float:
+    found = scorer.evidence(text.decode("utf-8", "replace")) if text else 0.0
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.curve[0] + model.curve[1] * math.log1p(found)))))
 
 
@@ -269,10 +295,10 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for each row of docs; null and empty texts have no clauses and get the curve's lowest value."""
 
     def make() -> Callable:
-        machine = grammar()
+        scorer = Scorer(model.insults)
 
         def step(columns: list[list]) -> list:
-            return [columns[0], [probability(t, model, machine) for t in columns[1]]]
+            return [columns[0], [probability(t, model, scorer) for t in columns[1]]]
 
         return step
 
@@ -283,7 +309,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows of docs whose score is below threshold, with all their columns; decided row by row."""
 
     def make() -> Callable:
-        machine = grammar()
-        return lambda texts: [probability(t, model, machine) < threshold for t in texts]
+        scorer = Scorer(model.insults)
+        return lambda texts: [probability(t, model, scorer) < threshold for t in texts]
 
     return filter_texts(docs, make)

@@ -150,9 +150,7 @@ class TestToxicity:
         assert toxicity.fit(df, labels) == toxicity.fit(df, turned)
 
     def test_grammar(self):
-        machine = toxicity.grammar()
-        insults = {"fool": 1.0}
-        score = lambda t: toxicity.evidence(t, insults, machine)
+        score = toxicity.Scorer({"fool": 1.0}).evidence
         assert score("a calm day") == score("") == 0
         assert score("you fool") > score("some fool") > score("he is not a fool") > 0
         assert score("they said: fool") == score("some fool")  # another clause
