@@ -34,14 +34,19 @@ from .toxicity import crc_mod
 HELD = 400_000
 DISCOUNT = 0.6
 
-FORM = re.compile(rb"[0-9]"), re.compile(rb"[\x80-\xff]")
+DIGIT = re.compile(rb"[0-9]").search
+#: Bytes that end a clause or a sentence.
+ENDS = frozenset(b",;:"), frozenset(b".!?")
 CLASSES = 12
 
 
 def form(word: bytes) -> int:
     """The class of a rare word: how it ends (a sentence, a clause or neither), digits, letters beyond ASCII."""
-    last = word[-1:]
-    return (2 if last in b".!?" else 1 if last in b",;:" else 0) + 3 * bool(FORM[0].search(word)) + 6 * bool(FORM[1].search(word))
+    last = word[-1]
+    end = 2 if last in ENDS[1] else 1 if last in ENDS[0] else 0
+    if (word[:-1] if end else word).isalpha():
+        return end
+    return end + 3 * bool(DIGIT(word)) + 6 * (not word.isascii())
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -60,6 +65,7 @@ class Model:
     masses: np.ndarray  # of classes: counts and a half for each word, and a half
     states: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # by depth: sorted context keys, log10 of what is left to the suffix
     successors: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # by depth: sorted state * size + symbol, log10 probability
+    first: np.ndarray | None = field(default=None, compare=False)  # the number of each symbol's own state, made where it is used
 
     @property
     def size(self) -> int:
@@ -116,6 +122,9 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 def contexts(symbols: np.ndarray, model: Model, depth: int) -> list[np.ndarray]:
     """For each depth from 1 the number of the state before each position, -1 where none is; no context goes beyond a start."""
     start, out = model.size - 1, []
+    if model.first is None and model.states:
+        model.first = np.full(model.size, -1)
+        model.first[model.states[0][0]] = np.arange(len(model.states[0][0]))
     before = np.zeros(len(symbols), np.int64)  # the number of the state that is one shorter
     inside = symbols != start
     for d in range(1, depth + 1):
@@ -124,7 +133,7 @@ def contexts(symbols: np.ndarray, model: Model, depth: int) -> list[np.ndarray]:
         inside = inside & (before >= 0) & (earlier >= 0)
         state = np.full(len(symbols), -1)
         at = np.nonzero(inside)[0]
-        state[at] = find(model.states[d - 1][0], before[at] * model.size + earlier[at])
+        state[at] = model.first[earlier[at]] if d == 1 else find(model.states[d - 1][0], before[at] * model.size + earlier[at])
         out.append(state)
         inside = inside & (earlier != start)
         before = state
@@ -182,10 +191,11 @@ def count_successors(texts: DataFrame, model: Model, tried: np.ndarray) -> DataF
     tried: sorted keys state * size + symbol. key: number in tried * size + next symbol; the start as the next symbol,
     which is behind nothing, stands for the context itself.
     """
-    send = texts.sparkSession.sparkContext.broadcast((model, tried))
+    send = texts.sparkSession.sparkContext.broadcast((vars(model), tried))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, keys = send.value
+        fields, keys = send.value
+        own = Model(**fields)
         depth = len(own.states) + 1
         grown = Model(own.words, own.counts, own.total, own.distinct, own.ends, own.masses, [*own.states, (keys, keys)])
         reader, held, size = Reader(own), [], 0
@@ -201,9 +211,12 @@ def count_successors(texts: DataFrame, model: Model, tried: np.ndarray) -> DataF
                 symbols, _, _ = reader.symbols(part.column(0).to_pylist())
                 state = contexts(symbols, grown, depth)[-1] if len(symbols) else symbols
                 at = np.nonzero(state >= 0)[0]
-                pairs = np.concatenate((state[at] * own.size + symbols[at], state[at] * own.size + own.size - 1))
-                held.append(np.unique(pairs, return_counts=True))
-                size += len(held[-1][0])
+                here = state[at]
+                held.append(np.unique(here * own.size + symbols[at], return_counts=True))
+                times = np.bincount(here)
+                met = np.nonzero(times)[0]
+                held.append((met * own.size + own.size - 1, times[met]))
+                size += len(held[-2][0]) + len(met)
                 if size > 4 * HELD:
                     yield handed()
                     size = 0
@@ -321,14 +334,15 @@ def _next(model: Model, pairs: tuple, least: float) -> tuple[np.ndarray, np.ndar
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
-    Null and empty texts are an end alone. Repeated rows and ids are scored row by row. Other columns are not read.
+    docs has to be the table that the model was fitted on: the counts of rare words, which the model doesn't hold, are
+    taken from its training rows on the way. Null and empty texts are an end alone. Repeated rows and ids are scored row by row. Other columns are not read.
     """
-    send = docs.sparkSession.sparkContext.broadcast(model)
+    send = docs.sparkSession.sparkContext.broadcast(vars(model))
     rows = docs.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 5) != 1, F.lit(False)).alias("trains"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text"))
     schema = "word binary, row long, n long, trains boolean, is_text boolean, doc_id long, n_tokens long, n_known long, base double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = send.value
+        own = Model(**send.value)
         reader, root = Reader(own), own.root()
         z, first = np.log10(own.base_total), len(own.words)
         with np.errstate(divide="ignore"):
