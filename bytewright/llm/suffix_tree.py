@@ -9,9 +9,10 @@ state; a rare word has its class's probability times its share of the class, so
 over all words that training saw and one unseen word of each form.
 
 What is counted covers the whole corpus: words, and symbols behind each tried context, are counted in each task and
-added up by a shuffle. What travels to the driver and to executors is bounded by shares of the corpus: at most
-1 / word_share words and 1 / pair_share successors of a level can be frequent enough. The rarer words' own counts stay
-distributed: texts send their rare words to the tasks that count these, and the sums come back by text.
+added up by a shuffle. Least counts are absolute, so words, contexts and successors grow with the corpus. The tree
+travels to the driver and to executors whole: it is not divided, so their memory bounds the corpus (see README). Words
+stand in it by their 64-bit hashes. The rarer words' own counts stay distributed: texts send their rare words to the
+tasks that count these, and the sums come back by text.
 """
 
 from __future__ import annotations
@@ -24,14 +25,19 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, remove, slices
 from .toxicity import crc_mod
 
 #: Counted keys that a task holds before it hands them on.
 HELD = 400_000
+#: Counted successors that the driver weighs at once.
+BLOCK = 1_000_000
+#: Ranges of tried contexts that blocks are made of, for each block.
+RANGES = 32
 DISCOUNT = 0.6
 
 DIGIT = re.compile(rb"[0-9]").search
@@ -57,7 +63,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Model:
     """Symbols 0..len(words)-1 are words, then CLASSES classes, an end and a start (which only stands in contexts)."""
 
-    words: list[bytes]
+    words: np.ndarray  # sorted hashes
     counts: np.ndarray  # of words, in training
     total: int  # training tokens
     distinct: int  # of them
@@ -91,7 +97,6 @@ class Reader:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.number = {w: i for i, w in enumerate(model.words)}
 
     def symbols(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
         """Symbols of all texts (start, words, end for each), where each text starts, and each text's rare words."""
@@ -99,7 +104,7 @@ class Reader:
         parts, starts, rare, at = [], [], [], 0
         for text in texts:
             words = words_of(text)
-            ids = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+            ids = find(self.model.words, np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words)).view(np.int64))
             missing = np.nonzero(ids < 0)[0]
             own = [words[i] for i in missing.tolist()]
             ids[missing] = [first + form(w) for w in own]
@@ -227,61 +232,84 @@ def count_successors(texts: DataFrame, model: Model, tried: np.ndarray) -> DataF
 
 
 def to_arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """key and n of a table whose size a share bounds, by key."""
+    """key and n of a table, by key."""
     got = df.toArrow()
     keys, n = got.column("key").to_numpy().astype(np.int64), got.column("n").to_numpy().astype(np.int64)
     order = np.argsort(keys)
     return keys[order], n[order]
 
 
-def fit(docs: DataFrame, depth: int = 3, word_share: float = 1e-6, context_share: float = 2e-5, pair_share: float = 1e-6, gain: float = 3.0) -> Model:
+def fit(docs: DataFrame, depth: int = 3, word_least: int = 2, context_least: int = 8, pair_least: int = 2, gain: float = 3.0) -> Model:
     """Learn a tree.
 
-    word_share, context_share, pair_share: how large a share of the training tokens a word, a context or a context
-    with its successor must be (and occur twice at least) to be in the model. gain: nats of likelihood that a context
-    must win over its suffix for each successor that it stores.
+    word_least, context_least, pair_least: how often a word, a context or a context with its successor must occur in
+    the training texts to be in the model, whatever their size. gain: nats of likelihood that a context must win over
+    its suffix for each successor that it stores.
     """
     texts = training(docs)
     counted = materialize(count_words(texts), "words")
     sums = counted.agg(F.sum("n"), F.count("word"), F.sum(F.when(F.col("word").isNull(), F.col("n")))).first()
     total, words, ends = sums[0] or 0, sums[1], sums[2] or 0
-    least = max(2, word_share * total)
     known = counted.where(F.col("word").isNotNull())
-    head = known.where(F.col("n") >= least).select("word", "n").toArrow()
+    hashes, counts = to_arrays(known.where(F.col("n") >= word_least).select(F.xxhash64("word").alias("key"), "n"))
     masses = np.full(CLASSES, 0.5)
-    for r in known.where(F.col("n") < least).groupBy("form").agg(F.sum("n"), F.count("*")).collect():
+    for r in known.where(F.col("n") < word_least).groupBy("form").agg(F.sum("n"), F.count("*")).collect():
         masses[r[0]] += r[1] + 0.5 * r[2]
-    pairs = sorted(zip(head.column("word").to_pylist(), head.column("n").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
-    model = Model([w for w, _ in pairs], np.array([n for _, n in pairs], np.int64), total, words + (ends > 0), ends, masses)
+    model = Model(hashes, counts, total, words + (ends > 0), ends, masses)
     # symbols before which something stands: the first level's contexts are symbols
     own = np.concatenate((model.counts, masses.astype(np.int64), [0, ends]))
-    tried = np.nonzero(own >= max(2, context_share * total))[0].astype(np.int64)
+    tried = np.nonzero(own >= context_least)[0].astype(np.int64)
     suffix = np.zeros(len(tried), np.int64)
     for _ in range(depth):
         if not len(tried):
             break
         itself = F.col("key") % model.size == model.size - 1
-        keys, n = to_arrays(count_successors(texts, model, tried).where((F.col("n") >= max(2, pair_share * total)) | itself))
-        level = _grow(model, tried, suffix, keys, n, gain, max(2, context_share * total))
+        level = materialize(count_successors(texts, model, tried).where((F.col("n") >= pair_least) | itself), "successors")
+        found = _grow_level(model, tried, suffix, level, gain, context_least)
+        remove(level)
         if not len(model.states[-1][0]):
             break
         if len(model.states) == 1:
-            # the symbols a, b of each state a and its successors
-            pairs = (model.states[0][0][level[0]], level[1], level[2])
-        tried, suffix = _next(model, pairs, max(2, context_share * total))
+            pairs = found
+        tried, suffix = _next(model, pairs)
     return model
 
 
+def _grow_level(model: Model, tried: np.ndarray, suffix: np.ndarray, level: DataFrame, gain: float, least: float) -> tuple:
+    """Add a level to the tree, block by block of the tried contexts. Returns the pairs of all blocks."""
+    ranges = RANGES * max(1, -(-level.count() // BLOCK))
+    width = -(-len(tried) // ranges)
+    rows = np.zeros(ranges, np.int64)
+    for r in level.groupBy(F.floor(F.col("key") / F.lit(model.size * width)).alias("at")).count().collect():
+        rows[r[0]] = r[1]
+    blocks, first = [], 0
+    for last in range(1, ranges + 1):
+        if last == ranges or rows[first : last + 1].sum() > BLOCK:
+            low, high = first * width, min(last * width, len(tried))
+            within = level.where((F.col("key") >= low * model.size) & (F.col("key") < high * model.size))
+            blocks.append(_grow(model, tried, suffix, *to_arrays(within), gain, least))
+            first = last
+    keys, left, owner, symbol, full, *pairs = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    del blocks
+    model.states.append((keys, left))
+    model.successors.append((np.searchsorted(keys, owner) * model.size + symbol, full))
+    return tuple(pairs)
+
+
 def _grow(model: Model, tried: np.ndarray, suffix: np.ndarray, keys: np.ndarray, n: np.ndarray, gain: float, least: float) -> tuple:
-    """Add those of the tried contexts that are frequent and whose successors diverge enough from their suffixes'.
+    """Those of the tried contexts that are frequent and whose successors diverge enough from their suffixes'.
 
-    Returns the new level's pairs: number of the state, successor, count.
+    Returns the keys of those that stay and what is left to their suffixes, their successors (key of the state,
+    symbol, log10 probability), and the pairs that are frequent (tried context, successor, count).
     """
     size, depth = model.size, len(model.states) + 1
     itself = keys % size == size - 1
-    totals = np.bincount(keys[itself] // size, n[itself], len(tried))
+    # those that this block has, from here on by their place in it
+    here, there = keys[itself] // size, n[itself]
+    tried, suffix = tried[here], suffix[here]
+    totals = there
     keys, n = keys[~itself], n[~itself]
-    owner, symbol = keys // size, keys % size
+    owner, symbol = np.searchsorted(here, keys // size), keys % size
     kept = np.where(n > DISCOUNT, n - DISCOUNT, 0.0) / np.maximum(totals[owner], 1)
     left = 1 - np.bincount(owner, kept, len(tried))
     # what the suffix gives the same symbols
@@ -301,24 +329,20 @@ def _grow(model: Model, tried: np.ndarray, suffix: np.ndarray, keys: np.ndarray,
     won = np.bincount(owner, n * (full - lower) * np.log(10), len(tried))
     stored = np.bincount(owner, minlength=len(tried))
     stays = (stored > 0) & (totals >= least) & (won >= gain * stored)
-    number = np.cumsum(stays) - 1
     mine = stays[owner]
-    model.states.append((tried[stays], np.log10(np.maximum(left[stays], 1e-9))))
-    model.successors.append((number[owner[mine]] * size + symbol[mine], full[mine]))
-    return number[owner[mine]], symbol[mine], n[mine]
+    often = mine & (n >= least)
+    return tried[stays], np.log10(np.maximum(left[stays], 1e-9)), tried[owner[mine]], symbol[mine], full[mine], tried[owner[often]], symbol[often], n[often]
 
 
-def _next(model: Model, pairs: tuple, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _next(model: Model, pairs: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Contexts to try at the next level: a state with one earlier symbol, and the number of the state.
 
-    No context is more frequent than the pair of its first two symbols, so pairs (first, second, count) that are
-    rarer than least are left out.
+    No context is more frequent than the pair of its first two symbols, so pairs (first, second, count) has the
+    frequent ones only.
     """
     size = model.size
     keys, _ = model.states[-1]
-    earlier, later, n = pairs
-    enough = n >= least
-    earlier, later = earlier[enough], later[enough]
+    earlier, later, _ = pairs
     # the earliest symbol of each state at this level
     oldest = keys % size
     order = np.argsort(later, kind="stable")

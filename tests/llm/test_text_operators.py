@@ -382,3 +382,22 @@ class TestSuffixTree:
         assert all(len(x) == 1 for x in by.values())
         null = spark.createDataFrame([(None, "a b")], "doc_id long, text string")
         assert suffix_tree.score(null, suffix_tree.fit(null)).first().n_tokens == 3
+
+    def test_the_tree_grows_with_the_corpus(self, spark):
+        # many words that each are a tiny share of the corpus, and each foretells the next
+        grown = {}
+        for n in (50, 1000):
+            texts = [" ".join(f"a{i} b{i} c{i}" for _ in range(3)) for i in range(n) for _ in range(5)] + ["x y " * 300_000] * 2
+            model = suffix_tree.fit(docs(spark, texts))
+            grown[n] = len(model.words), len(model.states[0][0])
+        assert all(b > 15 * a for a, b in zip(grown[50], grown[1000], strict=True)), grown
+
+    def test_blocks_give_the_same_tree(self, spark, monkeypatch):
+        df = self.corpus(spark)
+        whole = suffix_tree.fit(df)
+        monkeypatch.setattr(suffix_tree, "BLOCK", 7)
+        parts = suffix_tree.fit(df)
+        assert len(whole.states) > 1
+        for a, b in zip([*whole.states, *whole.successors], [*parts.states, *parts.successors], strict=True):
+            assert (a[0] == b[0]).all()
+            assert a[1] == pytest.approx(b[1])
