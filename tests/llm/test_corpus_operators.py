@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bytewright.llm import embedding_dedup, mixing, simhash
+from bytewright.llm import embedding_dedup, minhash, mixing, simhash
 from bytewright.llm.common import connected_components, forest, materialize
 from tests.llm.test_text_operators import DOCS, ODD, docs
 
@@ -107,6 +107,38 @@ class TestSimHash:
         assert [r.component_id for r in simhash.components(nulls).collect()] == [4, 4]
 
 
+class TestNearDuplicates:
+    @pytest.mark.parametrize("part", [1024, 8])
+    def test_against_exact_similarities(self, spark, monkeypatch, part):
+        monkeypatch.setattr(minhash, "PART", part)
+        draw = random.Random(3)
+        base = [[f"w{draw.randrange(3000)}" for _ in range(draw.randint(12, 150))] for _ in range(12)]
+        texts = [None, "", "one two", "One  two", *map(" ".join, base)]
+        for words in base:
+            for k in range(12):
+                own = list(words)
+                for _ in range(k // 2):
+                    own[draw.randrange(len(own))] = f"x{draw.randrange(3000)}"
+                texts.append(" ".join(own))
+
+        def grams(text):
+            words = (text or "").lower().split()
+            return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+        sets = [grams(t) for t in texts]
+        edges = [(a, b) for a, b in combinations(range(len(texts)), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+        wanted = components(range(len(texts)), edges)
+        kept = {r.doc_id for r in minhash.keep_one(docs(spark, texts)).collect()}
+        assert kept == {i for i, c in wanted.items() if i == c}
+        stage = corpus_pipeline.near_duplicates(spark, docs(spark, texts), "")
+        assert {r.doc_id for r in stage.collect()} == kept
+
+    def test_rows_that_repeat_an_id(self, spark):
+        texts = ["a b c d e f g", "h i j k l m n", "a b c d e f g"]
+        df = docs(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") < 2, 7).otherwise(9).cast("long"))
+        assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [(7, texts[0]), (7, texts[1])]
+
+
 class TestEmbeddings:
     def brute(self, rows, threshold):
         ok = [(i, np.array(v, float), l) for i, v, l in rows if v and l is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
