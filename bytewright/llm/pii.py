@@ -2,7 +2,8 @@
 
 The base kinds (email, ip, card, phone) are defined by patterns and always stay. Everything else in a text that may be
 personal, such as secrets, account numbers, e-mail addresses written out in words and national telephone numbers, is
-proposed as candidate segments with several possible boundaries and kinds. A log-linear model over whole segments
+proposed as candidate segments with several possible boundaries and kinds: account numbers, numbers and contacts from
+each token to each token that the pattern allows, while secrets have no blanks and end where their run ends. A log-linear model over whole segments
 (their kind together with shape, length, checksum and the words in front) scores each candidate; dynamic programming
 over segments in order of their ends picks the best set of segments that do not overlap each other or a base span. All
 patterns bound an entity's length, so a segment looks back over a bounded number of characters.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -92,19 +94,32 @@ PROPOSALS: tuple[tuple[str, re.Pattern, str], ...] = (
     ("contact", re.compile(r"(?<![0-9A-Za-z._-])[A-Za-z0-9._-]{1,40} ?[\[({]? ?(?:at|AT|arroba) ?[\])}]? ?[A-Za-z0-9-]{1,40}(?: ?[\[({]? ?(?:dot|DOT|punto|point|punkt) ?[\])}]? ?[A-Za-z0-9-]{2,20}){1,3}(?![0-9A-Za-z])"), "dot"),
 )
 NEEDS = {"digits": re.compile(r"[0-9]").search, "quotes": re.compile(r"[\"']").search, "any": re.compile(r"[:=] ").search, "dot": re.compile(r"(?:dot|DOT|punto|point|punkt)(?![A-Za-z])").search}
+TOKEN = re.compile(r"[0-9A-Za-z]+")
 BEFORE = 24
 CUE = re.compile(r"[^\W\d_]+")
 #: Words in front that tell kinds apart.
 CUES = {w: kind for kind, words in {"secret": "token key secret password passwd pwd apikey auth bearer passwort", "account": "account iban konto card visa cuenta compte passport", "number": "phone tel call telephone fax mobile telefon teléfono ring", "contact": "mail email contact write kontakt correo", "other": "version chapter page order isbn date price id invoice build"}.items() for w in words.split()}
 
 
+def segments(pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+    """All matches of the pattern that begin and end with tokens, overlapping ones included."""
+    for m in pattern.finditer(text):
+        tokens = [t.start() for t in TOKEN.finditer(text, *m.span())]
+        for start in sorted({m.start(), *tokens, *(t - 1 for t in tokens if t > m.start() and text[t - 1] == "(")}):
+            longest = pattern.match(text, start)
+            if longest:
+                yield longest.span()
+                yield from ((start, t.end()) for t in TOKEN.finditer(text, start, longest.end()) if pattern.fullmatch(text, start, t.end()))
+
+
 def candidates(text: str, taken: list[Span]) -> list[Span]:
     """Segments that the model may choose, by end and start; none overlaps a base span."""
     found = set()
     able = {need: bool(test(text)) for need, test in NEEDS.items()}
     for kind, pattern, need in PROPOSALS:
         if able[need]:
-            found.update(Span(kind, m.start(), m.end()) for m in pattern.finditer(text))
+            places = (m.span() for m in pattern.finditer(text)) if kind == "secret" else segments(pattern, text)
+            found.update(Span(kind, a, b) for a, b in places)
     if not found:
         return []
     edges = sorted((s.start, s.end) for s in taken)
@@ -165,9 +180,7 @@ def best(spans: list[Span], scores: list[float]) -> list[Span]:
 
 def _before(ends: list[int], start: int, i: int) -> int:
     """How many of the first i segments end at start or before it."""
-    while i and ends[i - 1] > start:
-        i -= 1
-    return i
+    return bisect_right(ends, start, 0, i)
 
 
 def marginals(spans: list[Span], scores: list[float]) -> list[float]:

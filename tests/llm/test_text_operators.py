@@ -231,6 +231,28 @@ class TestPersonalData:
         assert [r.text for r in out[1:]] == ODD
         assert pii.redact(df.where("false")).count() == 0
 
+    def test_adjacent_entities(self):
+        weights = pii.train()
+        for text, wanted in [
+            ("call 555-123-4567 555-987-6543", [("number", "555-123-4567"), ("number", "555-987-6543")]),
+            ("konto 4111111111111112 2024-05-06", [("account", "4111111111111112")]),
+            ("account 1234567812345678 8765432187654321", [("account", "1234567812345678"), ("account", "8765432187654321")]),
+        ]:
+            proposed = {(s.kind, text[s.start : s.end]) for s in pii.candidates(text, pii.base_spans(text))}
+            assert proposed >= set(wanted), text
+            assert [(s.kind, text[s.start : s.end]) for s in pii.find(text, weights)[1]] == wanted
+
+    def test_every_segment_between_tokens_is_proposed(self):
+        text = "x (12) 34-56 789 0123456789 98 76.54 AB12 3456 7890 1234 ann at b dot co dot uk"
+        ends = [m.start() for m in re.finditer(r"[(0-9A-Za-z]", text)], [m.end() for m in re.finditer(r"[0-9A-Za-z]+", text)]
+        wanted = set()
+        for kind, pattern, _ in pii.PROPOSALS:
+            if kind != "secret":
+                spans = ((a, b) for a in ends[0] for b in ends[1] if a < b)
+                wanted |= {(kind, a, b) for a, b in spans if pattern.fullmatch(text, a, b)}
+        got = {tuple(s) for s in pii.candidates(text, []) if s.kind != "secret"}
+        assert got == wanted
+
     def test_overlapping_spans_become_one(self):
         assert pii.redacted("abcdef", [pii.Span("ip", 1, 3), pii.Span("card", 2, 5)]) == "a<ip>f"
 
