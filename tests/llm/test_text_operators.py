@@ -253,6 +253,14 @@ class TestPersonalData:
         got = {tuple(s) for s in pii.candidates(text, []) if s.kind != "secret"}
         assert got == wanted
 
+    def test_secrets_of_letters_and_long_ones(self):
+        key = "".join(random.Random(1).choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(40))
+        for text in (f"bearer {key} end", f"bearer {key} end 7"):
+            assert pii.Span("secret", 7, 47) in pii.candidates(text, [])
+        for n in (129, 1000, 8192):
+            long = (key * n)[:n]
+            assert pii.Span("secret", 7, 7 + n) in pii.candidates(f"bearer {long} end", [])
+
     def test_overlapping_spans_become_one(self):
         assert pii.redacted("abcdef", [pii.Span("ip", 1, 3), pii.Span("card", 2, 5)]) == "a<ip>f"
 
