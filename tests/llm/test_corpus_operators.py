@@ -224,6 +224,18 @@ class TestMixing:
         assert again == {r.doc_id: r.mix_kept for r in rows}
 
 
+    def test_unnamed_and_null_languages_have_a_share(self, spark):
+        df = docs(spark, [f"some words {i}" for i in range(60)])
+        df = df.withColumn("lang", F.element_at(F.array(*map(F.lit, ["en", "de", "fr", "es", "it", None])), (F.col("doc_id") % 6 + 1).cast("int")))
+        rows = mixing.mix(df, corpus_pipeline.MIX_DIMENSIONS, corpus_pipeline.MIX_TARGETS, corpus_pipeline.MIX_SHARE).collect()
+        mass = {}
+        for r in rows:
+            mass[r.lang] = mass.get(r.lang, 0) + r.mix_tokens * r.mix_weight
+        assert all(r.mix_probability > 0 for r in rows)
+        assert (mass["it"] + mass[None]) / sum(mass.values()) == pytest.approx(0.04, abs=1e-3)
+        assert corpus_pipeline.MIX_TARGETS["lang"].of({"en": 1, "de": 1, "fr": 1, "es": 1}) == pytest.approx({"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1})
+
+
 class TestPipeline:
     def tables(self, spark, folder, more=()):
         draw = random.Random(12)
