@@ -300,7 +300,7 @@ def _grow(model: Model, tried: np.ndarray, suffix: np.ndarray, keys: np.ndarray,
     """Those of the tried contexts that are frequent and whose successors diverge enough from their suffixes'.
 
     Returns the keys of those that stay and what is left to their suffixes, their successors (key of the state,
-    symbol, log10 probability), and the pairs that are frequent (tried context, successor, count).
+    symbol, log10 probability), and the frequent pairs of all tried contexts (tried context, successor, count).
     """
     size, depth = model.size, len(model.states) + 1
     itself = keys % size == size - 1
@@ -330,7 +330,7 @@ def _grow(model: Model, tried: np.ndarray, suffix: np.ndarray, keys: np.ndarray,
     stored = np.bincount(owner, minlength=len(tried))
     stays = (stored > 0) & (totals >= least) & (won >= gain * stored)
     mine = stays[owner]
-    often = mine & (n >= least)
+    often = n >= least
     return tried[stays], np.log10(np.maximum(left[stays], 1e-9)), tried[owner[mine]], symbol[mine], full[mine], tried[owner[often]], symbol[often], n[often]
 
 

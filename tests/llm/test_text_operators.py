@@ -431,3 +431,14 @@ class TestSuffixTree:
         for a, b in zip([*whole.states, *whole.successors], [*parts.states, *parts.successors], strict=True):
             assert (a[0] == b[0]).all()
             assert a[1] == pytest.approx(b[1])
+
+    def test_pairs_of_symbols_that_are_no_states(self):
+        import numpy as np
+
+        model = suffix_tree.Model(np.array([1, 2]), np.array([100, 100]), 200, 2, 0, np.full(suffix_tree.CLASSES, 0.5))
+        size, itself = model.size, model.size - 1
+        # the first word is followed by what follows everywhere, the second by the first
+        keys, n = np.array([0, 1, itself, size, size + itself]), np.array([50, 50, 100, 100, 100])
+        states, *_, first, second, count = suffix_tree._grow(model, np.array([0, 1]), np.zeros(2, np.int64), keys, n, 3.0, 8)
+        assert states.tolist() == [1]
+        assert [*zip(first.tolist(), second.tolist(), count.tolist(), strict=True)] == [(0, 0, 50), (0, 1, 50), (1, 0, 100)]
