@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
@@ -27,10 +30,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that materialize() has written, by session; sweep() removes them.
+_written: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session in local mode (one machine, as in tests) gets a folder of its own; a cluster's is
+    refused, as a folder of one machine would not do there.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -41,15 +54,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def remove(df: DataFrame) -> None:
     """Delete the files of a table made by materialize() that nothing reads any more."""
-    spark = df.sparkSession
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _delete(df.sparkSession, path)
+
+
+def sweep(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete all tables that materialize() has written in this session, but for what keep reads.
+
+    To be called when results have been read or written: lazy results read these tables.
+    """
+    stay = {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()} if keep is not None else set()
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        if path.rpartition("/")[2] in stay:
+            _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+        else:
+            _delete(spark, path)
+
+
+def give_back() -> None:
+    """Return memory that a task has freed to the system: Python workers live on and serve other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def fresh(name: str, df: DataFrame) -> str:
@@ -89,6 +129,9 @@ def map_texts(df: DataFrame, columns: list[str], make: Callable, schema: str) ->
             for part in slices(batch, len(columns) - 1):
                 out = step([part.column(i).to_pylist() for i in range(len(columns))])
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, types, strict=True)], names)
+                del out
+        del step
+        give_back()
 
     picked = df.select(*[F.col(c) for c in columns[:-1]], F.col(columns[-1]).cast("binary").alias("text"))
     return picked.mapInArrow(run, schema)
@@ -98,21 +141,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a long, b long); root is the smallest node reachable.
 
     Alternating large and small stars (Kiveris et al., SoCC 2014) over edges that point from a larger node to a
-    smaller one. Each round is two shuffles of the edges and ends in the shared folder; the number of rounds grows
-    with the logarithm of the graph's size. Null ends and loops are ignored; no edges give no rows.
+    smaller one. A node's smallest neighbour is an aggregate that each task combines before the shuffle, and it comes
+    back to the node's edges by a join, which adaptive execution splits for a hub of any size. Each round ends in the
+    shared folder; the number of rounds grows with the logarithm of the graph's size. Null ends and loops are ignored;
+    no edges give no rows.
     """
     hi, lo = F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
     now = materialize(edges.where("a <> b").select(hi, lo).distinct(), "stars")
     sums = None
     while True:
         up = now.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("parent"))
-        large = now.join(up, "lo", "left").select("hi", F.coalesce("parent", "lo").alias("lo"))
-        least = F.min("lo").over(Window.partitionBy("hi"))
-        small = large.repartition("hi").distinct().withColumn("least", least)
+        large = materialize(now.join(up, "lo", "left").select("hi", F.coalesce("parent", "lo").alias("lo")).distinct(), "stars")
+        least = large.groupBy("hi").agg(F.min("lo").alias("least"))
+        small = large.join(least, "hi")
         pairs = F.array(F.struct("hi", F.col("least").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("least").alias("lo")))
         after = small.select(F.explode(pairs).alias("e")).select("e.*").where("hi <> lo").distinct()
         after = materialize(after, "stars")
         remove(now)
+        remove(large)
         now, before = after, sums
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if sums == before or not sums[0]:
@@ -146,5 +192,7 @@ def filter_texts(df: DataFrame, make: Callable) -> DataFrame:
         for batch in batches:
             for part in slices(batch, at):
                 yield part.filter(pa.array(keep(part.column(at).cast(pa.binary()).to_pylist()), pa.bool_()))
+        del keep
+        give_back()
 
     return df.mapInArrow(run, df.schema)

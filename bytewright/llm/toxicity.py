@@ -6,9 +6,10 @@ their composition (the product automaton) reads a clause once. An insult counts
 negation or in reported speech, and a threat counts with a target only. Words alone are not scored: a clause is.
 
 Which words insult is learned from the labels: words and beginnings of words that are frequent in toxic training texts
-and all but absent from clean ones, provided that they occur in many different contexts (copied passages bring their
-words with the same neighbours each time). The sum of a text's clauses becomes a probability by a logistic curve
-fitted on the training texts.
+and all but absent from clean ones are candidates. The training texts are divided in two by their longest words, which
+copies and near copies share, and a candidate stays if it holds in each part by itself, so what copies of one text
+brought along goes. The sum of a text's clauses becomes a probability by a
+logistic curve fitted on the training texts.
 
 The classifier is fitted on at most ``sample`` labelled rows, those with the smallest hash of their ids; a bounded
 number of ids can be sent to the texts, so fitting never shuffles texts. Scoring covers every row and whole texts.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -25,7 +27,6 @@ from functools import reduce
 
 import ahocorasick
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,10 @@ from .common import filter_texts, map_texts
 
 #: Labelled rows that the classifier is fitted on at most.
 SAMPLE = 200_000
-#: Words whose features a task remembers; when they are more, it begins anew.
-REMEMBERED = 1 << 19
+#: Words that a task remembers; when they are more, it begins anew.
+REMEMBERED = 1 << 15
+#: Candidates for insults at most that are looked at in both parts of the training texts: those of most weight.
+CANDIDATES = 2000
 
 # Words of the closed classes, in English, German, French and Spanish.
 TARGETS = frozenset("you your yours yourself they them their he him his she her these those people everyone du dich dir dein deine ihr euch sie ihnen tu te toi ton ta tes vous votre vos eux ils elles tú ti tus usted ustedes vosotros ellos ellas".split())
@@ -185,24 +188,43 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text is not null").select("toxic", "text")
 
 
-def _counts(rows: DataFrame, wanted: frozenset | None) -> DataFrame:
-    """(feature, n): in how many of the texts each feature occurs; of all features or of those wanted."""
+def words_of(text: bytes) -> set[str]:
+    return set(WORD.findall(text.decode("utf-8", "replace").lower()))
 
-    def make() -> Callable:
-        known: dict[str, tuple[str, ...]] = {}
 
-        def of(word: str) -> tuple[str, ...]:
-            found = known.get(word)
+def part_of(words: set[str]) -> int:
+    """0 or 1, by the longest word (of equally long ones the last)."""
+    return zlib.crc32(max(words, key=lambda w: (len(w), w)).encode()) & 1 if words else 0
+
+
+def _picker(wanted: frozenset) -> Callable[[set[str]], set[str]]:
+    """What finds the wanted features among words. Few words have any, and those without are the same empty tuple."""
+    known: dict[str, tuple[str, ...]] = {}
+
+    def pick(words: set[str]) -> set[str]:
+        out: set[str] = set()
+        for w in words:
+            found = known.get(w)
             if found is None:
                 if len(known) > REMEMBERED:
                     known.clear()
-                found = known[word] = tuple(features(word) if wanted is None else [f for f in features(word) if f in wanted])
-            return found
+                found = known[w] = tuple(f for f in features(w) if f in wanted)
+            out.update(found)
+        return out
+
+    return pick
+
+
+def _counts(rows: DataFrame, wanted: frozenset | None) -> DataFrame:
+    """(feature, n): in how many of the texts each feature occurs; of all features or of those wanted."""
+
+    def make() -> Callable:
+        pick = _picker(wanted) if wanted is not None else lambda words: {f for w in words for f in features(w)}
 
         def step(columns: list[list]) -> list:
             found: Counter = Counter()
             for text in columns[0]:
-                found.update({f for w in set(WORD.findall(text.decode("utf-8", "replace").lower())) for f in of(w)})
+                found.update(pick(words_of(text)))
             return [list(found), list(found.values())]
 
         return step
@@ -210,38 +232,59 @@ def _counts(rows: DataFrame, wanted: frozenset | None) -> DataFrame:
     return map_texts(rows, ["text"], make, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def _contexts(rows: DataFrame, wanted: frozenset) -> DataFrame:
-    """(feature, n): between how many pairs of words each feature occurs in the texts."""
+def _incidence(rows: DataFrame, wanted: frozenset) -> list[tuple[int, int, frozenset, int]]:
+    """(toxic, part, the wanted features that a text has, how many texts); at most a row for each row of the sample."""
 
     def make() -> Callable:
+        pick = _picker(wanted)
+
         def step(columns: list[list]) -> list:
-            found = set()
-            for text in columns[0]:
-                words = ["", *WORD.findall(text.decode("utf-8", "replace").lower()), ""]
-                for i in range(1, len(words) - 1):
-                    for f in features(words[i]):
-                        if f in wanted:
-                            found.add((f, xxhash.xxh3_64_intdigest(f"{words[i - 1]} {words[i + 1]}") - (1 << 63)))
-            return [[f for f, _ in found], [c for _, c in found]]
+            words = [words_of(t) for t in columns[1]]
+            return [columns[0], [part_of(w) for w in words], [sorted(pick(w)) for w in words]]
 
         return step
 
-    return map_texts(rows, ["text"], make, "feature string, context long").distinct().groupBy("feature").agg(F.count("*").alias("n"))
+    found = map_texts(rows, ["toxic", "text"], make, "toxic int, part int, features array<string>").groupBy("toxic", "part", "features").count().collect()
+    return [(r[0], r[1], frozenset(r[2]), r[3]) for r in found]
+
+
+def chosen(found: list[tuple[int, int, frozenset, int]], candidates: dict[str, float], least: int = 2, precision: float = 0.9) -> list[str]:
+    """The candidates that hold in each part of the training texts by itself, the most frequent in toxic ones first.
+
+    They hold in a part if least toxic texts have them there, and precision of all texts that have them are toxic. Of
+    words and the beginnings of the same words the most frequent (then the heavier, the longer, the first) stands for
+    the others.
+    """
+    every: Counter = Counter()
+    toxic: Counter = Counter()
+    for label, part, own, n in found:
+        for f in own:
+            every[f, part] += n
+            toxic[f, part] += n * label
+    parts = {part for _, part, _, _ in found}
+    able = [f for f in candidates if all(toxic[f, p] >= least and toxic[f, p] >= precision * every[f, p] for p in parts)]
+    out: list[str] = []
+    for f in sorted(able, key=lambda f: (-sum(toxic[f, p] for p in parts), -candidates[f], -len(f), f)):
+        stem = f.removeprefix("^")
+        if not any(c[0] == "^" and stem.startswith(c[1:]) or f[0] == "^" and c.removeprefix("^").startswith(stem) for c in out):
+            out.append(f)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_share: float = 0.005, ratio: float = 20.0) -> Model:
     """Learn the insults and the curve.
 
-    least_share: of the toxic texts that a feature must occur in (and in 3 of them). ratio: how many times more
-    frequent than in clean texts it must be. Features and counts that reach the driver are bounded by the share.
-    Without toxic or without clean training texts there is nothing to learn: no insults, and threats alone count.
+    least_share: of the toxic texts that a feature must occur in (and in 3 of them) to be a candidate. ratio: how many
+    times more frequent than in clean texts it must be. Features and counts that reach the driver are bounded by the
+    share and the sample. Without toxic or without clean training texts there is nothing to learn: no insults, and
+    threats alone count.
     """
     rows = training_rows(docs, labels, sample)
-    toxic, clean = rows.where("toxic = 1").select("text"), rows.where("toxic = 0").select("text")
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return Model({}, (-3.0, 3.0))
+    toxic, clean = rows.where("toxic = 1").select("text"), rows.where("toxic = 0").select("text")
     least = max(3, math.ceil(least_share * n1))
     in_toxic = dict(map(tuple, _counts(toxic, None).where(F.col("n") >= least).collect()))
     in_clean = dict(map(tuple, _counts(clean, frozenset(in_toxic)).collect()))
@@ -249,17 +292,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_share: f
     def odds(f: str) -> float:
         return math.log((in_toxic[f] + 0.5) / (n1 + 1)) - math.log((in_clean.get(f, 0) + 0.5) / (n0 + 1))
 
-    precise = [f for f in in_toxic if odds(f) >= math.log(ratio)]
-    around = dict(map(tuple, _contexts(toxic, frozenset(precise)).collect())) if precise else {}
-    varied = [f for f in precise if around.get(f, 0) >= max(3, 0.75 * in_toxic[f])]
-    chosen: list[str] = []
-    for f in sorted(varied, key=lambda f: (-in_toxic[f] * odds(f), -len(f), f)):
-        stem = f.removeprefix("^")
-        # what a chosen feature contains, or what contains one, says no more
-        if not any(c[0] == "^" and stem.startswith(c[1:]) or f[0] == "^" and c.removeprefix("^").startswith(stem) for c in chosen):
-            chosen.append(f)
-    most = max(map(odds, chosen), default=1.0)
-    insults = {f: odds(f) / most for f in chosen}
+    precise = sorted((f for f in in_toxic if odds(f) >= math.log(ratio)), key=lambda f: (-in_toxic[f] * odds(f), f))[:CANDIDATES]
+    weights = {f: odds(f) for f in precise}
+    taken = chosen(_incidence(rows, frozenset(precise)), weights) if precise else []
+    most = max((weights[f] for f in taken), default=1.0)
+    insults = {f: weights[f] / most for f in taken}
     return Model(insults, _curve(rows, insults))
 
 
