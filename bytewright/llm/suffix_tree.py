@@ -1,164 +1,179 @@
-"""Language-model scoring by a probabilistic suffix tree.
-
-Symbols are the frequent words, an end, and classes of the rarer words by their form. The tree's states are contexts of
-up to ``depth`` symbols. It grows from the root: a context is tried if its suffix is a state and it is frequent enough,
-and it stays if the distribution of what follows diverges enough from its suffix's (the gain in likelihood per stored
-successor). Distributions are smoothed by absolute discounting towards the suffix, down to the root, whose
-distribution is the base of counts plus a half. A text is scored by the longest suffix of each position that is a
-state; a rare word has its class's probability times its share of the class, so the model is a proper distribution
-over all words that training saw and one unseen word of each form.
-
-What is counted covers the whole corpus: words, and symbols behind each tried context, are counted in each task and
-added up by a shuffle. Least counts are absolute, so words, contexts and successors grow with the corpus. The tree
-travels to the driver and to executors whole: it is not divided, so their memory bounds the corpus (see README). Words
-stand in it by their 64-bit hashes. The rarer words' own counts stay distributed: texts send their rare words to the
-tasks that count these, and the sums come back by text.
+"""Language-model scoring by a probabilistic suffix tree that is kept in tables.
+
+Symbols are words (by their 64-bit hashes), an end, and a start that only stands in contexts. The tree's states are
+contexts of up to ``depth`` symbols. A context is tried if its suffix is a state and it is frequent enough, and it stays
+if the distribution of what follows diverges enough from its suffix's (the gain in likelihood per stored successor).
+Distributions are smoothed by absolute discounting towards the suffix, down to the root, whose distribution is the base
+of counts plus a half. A text is scored by the longest suffix of each position that is a state. All levels are proper
+distributions over the words that training saw and one unseen word.
+
+The tree never gathers anywhere: words, states and successors are tables in the shared folder, made by aggregates and
+joins, so words, contexts and successors grow with the corpus. Least counts are absolute. To read texts, tasks get a
+cache of bounded size: the most frequent words, states and successors, and bit maps of the hashes of all states and
+successors. A bit map has no false negatives, so what it denies needs no look-up; what the cache has is final. All else is
+looked up exactly by joins with the tables. The caches' sizes change how much is joined, and never a result.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, remove, slices
+from .common import give_back, materialize, remove, slices
 from .toxicity import crc_mod
 
+#: Words, states and successors in the caches, the most frequent ones.
+WORDS, STATES, SUCCESSORS = 1 << 18, 1 << 18, 1 << 21
+#: Bits of a bit map (a power of two); one travels as 8 MB at most.
+BITS = 1 << 26
 #: Counted keys that a task holds before it hands them on.
-HELD = 400_000
-#: Counted successors that the driver weighs at once.
-BLOCK = 1_000_000
-#: Ranges of tried contexts that blocks are made of, for each block.
-RANGES = 32
+HELD = 1 << 21
 DISCOUNT = 0.6
+#: Symbols that are no words. NONE stands where a context is shorter.
+NONE, START, END = 0, 1, 2
 
-DIGIT = re.compile(rb"[0-9]").search
-#: Bytes that end a clause or a sentence.
-ENDS = frozenset(b",;:"), frozenset(b".!?")
-CLASSES = 12
+# The constants of XXH64, by which Spark hashes longs.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
-def form(word: bytes) -> int:
-    """The class of a rare word: how it ends (a sentence, a clause or neither), digits, letters beyond ASCII."""
-    last = word[-1]
-    end = 2 if last in ENDS[1] else 1 if last in ENDS[0] else 0
-    if (word[:-1] if end else word).isalpha():
-        return end
-    return end + 3 * bool(DIGIT(word)) + 6 * (not word.isascii())
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def hashed(value: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
+    """Spark's xxhash64 of a long for each value, from a seed; chained, that of several columns. The first seed is 42."""
+    seed = np.uint64(seed) if isinstance(seed, int) else seed.view(np.uint64)
+    h = (seed + _P5 + np.uint64(8)) ^ (_turned(value.view(np.uint64) * _P2, 31) * _P1)
+    h = _turned(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def symbols(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts (a start, words, an end for each), and where each text starts."""
+    parts, starts, at = [np.zeros(0, np.int64)], [], 0
+    for text in texts:
+        words = words_of(text)
+        own = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words)).view(np.int64)
+        parts += [[START], own, [END]]
+        starts.append(at)
+        at += len(words) + 2
+    return np.concatenate(parts), np.array(starts, np.int64)
+
+
+def contexts(s: np.ndarray, depth: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """By depth: the symbol that far before each position, the hash of the context, and whether there is one.
+
+    Contexts don't reach beyond a start; nothing comes before one.
+    """
+    earlier, keys, there = [], [], []
+    inside, key = s != START, np.full(len(s), 42, np.int64)
+    for d in range(1, depth + 1):
+        own = np.zeros(len(s), np.int64)
+        own[d:] = s[:-d] if d < len(s) else []
+        key = hashed(own, key)
+        earlier.append(own)
+        keys.append(key)
+        there.append(inside)
+        inside = inside & (own != START)
+    return earlier, keys, there
+
+
+@dataclass
+class Cache:
+    """What tasks look up by themselves: sorted keys with values, and bit maps of all keys."""
+
+    words: tuple[np.ndarray, np.ndarray]
+    all_words: bool  # whether these are all words
+    states: tuple[np.ndarray, np.ndarray] | None = None
+    successors: tuple[np.ndarray, np.ndarray] | None = None
+    state_bits: np.ndarray | None = None
+    successor_bits: np.ndarray | None = None
+
+
 @dataclass
 class Model:
-    """Symbols 0..len(words)-1 are words, then CLASSES classes, an end and a start (which only stands in contexts)."""
+    """words (h, n). By depth: states (w1.., left: log10 of what is left to the suffix) and successors (w1.., c, full:
+    log10 probability, gain: what that has over the base's). w1 is the symbol next before c."""
 
-    words: np.ndarray  # sorted hashes
-    counts: np.ndarray  # of words, in training
     total: int  # training tokens
     distinct: int  # of them
     ends: int
-    masses: np.ndarray  # of classes: counts and a half for each word, and a half
-    states: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # by depth: sorted context keys, log10 of what is left to the suffix
-    successors: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # by depth: sorted state * size + symbol, log10 probability
-    first: np.ndarray | None = field(default=None, compare=False)  # the number of each symbol's own state, made where it is used
-
-    @property
-    def size(self) -> int:
-        return len(self.words) + CLASSES + 2
+    words: DataFrame
+    states: list[DataFrame] = field(default_factory=list)
+    successors: list[DataFrame] = field(default_factory=list)
+    cache: Cache | None = None
 
     @property
-    def end(self) -> int:
-        return len(self.words) + CLASSES
+    def depth(self) -> int:
+        return len(self.states)
 
     @property
     def base_total(self) -> float:
         return self.total + 0.5 * (self.distinct + 1)
 
-    def root(self) -> np.ndarray:
-        """log10 probability of each symbol without context."""
-        mass = np.concatenate((self.counts + 0.5, self.masses, [self.ends + 0.5, 0.0]))
-        with np.errstate(divide="ignore"):
-            return np.log10(mass / mass.sum())
-
-
-class Reader:
-    """Turns texts into symbols; one for each task."""
-
-    def __init__(self, model: Model) -> None:
-        self.model = model
-
-    def symbols(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """Symbols of all texts (start, words, end for each), where each text starts, and each text's rare words."""
-        first, n = len(self.model.words), self.model.end
-        parts, starts, rare, at = [], [], [], 0
-        for text in texts:
-            words = words_of(text)
-            ids = find(self.model.words, np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words)).view(np.int64))
-            missing = np.nonzero(ids < 0)[0]
-            own = [words[i] for i in missing.tolist()]
-            ids[missing] = [first + form(w) for w in own]
-            rare.append(own)
-            parts += [[n + 1], ids, [n]]
-            starts.append(at)
-            at += len(words) + 2
-        return (np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)), np.array(starts, np.int64), rare
-
-
-def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Positions in the sorted keys, -1 where they have none."""
+
+def find(table: tuple[np.ndarray, np.ndarray], wanted: np.ndarray, missing: float) -> tuple[np.ndarray, np.ndarray]:
+    """The values of wanted keys in a sorted table, and whether it has them."""
+    keys, values = table
     if not len(keys):
-        return np.full(len(wanted), -1)
+        return np.full(len(wanted), missing), np.zeros(len(wanted), bool)
     at = np.searchsorted(keys, wanted)
     at[at == len(keys)] = 0
-    return np.where(keys[at] == wanted, at, -1)
+    hit = keys[at] == wanted
+    return np.where(hit, values[at], missing), hit
+
+
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit map has the keys' bits."""
+    at = keys & (len(bits) * 8 - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def bit_map(keys: list[DataFrame]) -> np.ndarray:
+    """A bit for each key of tables with a column key, made in tasks; its size does not depend on the tables'."""
+    out = np.zeros(BITS // 8, np.uint8)
+    if not keys:
+        return out
+    page = min(BITS, 1 << 15)
+    at = reduce(DataFrame.union, [k.select("key") for k in keys]).select(F.col("key").bitwiseAND(F.lit(BITS - 1)).alias("at"))
+    pages = at.groupBy(F.shiftright("at", page.bit_length() - 1).alias("page")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(page - 1))).alias("bits"))
+    for r in pages.toLocalIterator():
+        own = np.frombuffer(bytes(r[1]), np.uint8)[: page // 8]
+        out[r[0] * (page // 8) : r[0] * (page // 8) + len(own)] = own
+    return out
 
 
-def contexts(symbols: np.ndarray, model: Model, depth: int) -> list[np.ndarray]:
-    """For each depth from 1 the number of the state before each position, -1 where none is; no context goes beyond a start."""
-    start, out = model.size - 1, []
-    if model.first is None and model.states:
-        model.first = np.full(model.size, -1)
-        model.first[model.states[0][0]] = np.arange(len(model.states[0][0]))
-    before = np.zeros(len(symbols), np.int64)  # the number of the state that is one shorter
-    inside = symbols != start
-    for d in range(1, depth + 1):
-        earlier = np.full(len(symbols), -1)
-        earlier[d:] = symbols[:-d] if d < len(symbols) else []
-        inside = inside & (before >= 0) & (earlier >= 0)
-        state = np.full(len(symbols), -1)
-        at = np.nonzero(inside)[0]
-        state[at] = model.first[earlier[at]] if d == 1 else find(model.states[d - 1][0], before[at] * model.size + earlier[at])
-        out.append(state)
-        inside = inside & (earlier != start)
-        before = state
-    return out
+def most_frequent(tables: list[DataFrame], value: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """key and value of the rows with the largest n (ties by key), sorted by key; tables: key, n, value."""
+    if not tables:
+        return np.zeros(0, np.int64), np.zeros(0)
+    rows = reduce(DataFrame.union, [t.select("key", "n", value) for t in tables])
+    got = rows.orderBy(F.desc("n"), "key").limit(most).select("key", value).toArrow()
+    keys, values = got.column(0).to_numpy().astype(np.int64), got.column(1).to_numpy()
+    order = np.argsort(keys, kind="stable")
+    return keys[order], values[order]
 
 
-def log_scores(symbols: np.ndarray, model: Model, root: np.ndarray) -> np.ndarray:
-    """log10 probability of each symbol, by its longest context; 0 for starts."""
-    out = np.zeros(len(symbols))
-    open_ = symbols != model.size - 1
-    for d, state in reversed(list(enumerate(contexts(symbols, model, len(model.states)), 1))):
-        at = np.nonzero(open_ & (state >= 0))[0]
-        keys, values = model.successors[d - 1]
-        found = find(keys, state[at] * model.size + symbols[at])
-        hit = found >= 0
-        out[at[hit]] += values[found[hit]]
-        out[at[~hit]] += model.states[d - 1][1][state[at[~hit]]]
-        open_[at[hit]] = False
-    out[open_] += root[symbols[open_]]
-    return out
+def symbols_of(d: int) -> list[str]:
+    return [f"w{i}" for i in range(1, d + 1)]
+
+
+def key_of(names: list[str]) -> Column:
+    return F.xxhash64(*names).alias("key")
 
 
 def training(docs: DataFrame) -> DataFrame:
@@ -167,251 +182,256 @@ def training(docs: DataFrame) -> DataFrame:
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(word, form, n) over all texts; a null word counts the texts."""
+    """(h, n): how often each word, by its hash, and the end occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[np.ndarray] = []
 
         def handed() -> pa.RecordBatch:
-            words = list(held)
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([form(w) if w is not None else 0 for w in words], pa.int32()), pa.array(list(held.values()), pa.int64())], ["word", "form", "n"])
+            found, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["h", "n"])
 
         for batch in batches:
             for part in slices(batch, 0):
-                held[None] += part.num_rows
-                for text in part.column(0).to_pylist():
-                    held.update(words_of(text))
-                if len(held) > HELD:
+                s, _ = symbols(part.column(0).to_pylist())
+                held.append(s[s != START])
+                if sum(map(len, held)) > HELD:
                     yield handed()
-        yield handed()
+        if held:
+            yield handed()
+        give_back()
 
-    return texts.mapInArrow(run, "word binary, form int, n long").groupBy("word", "form").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def count_successors(texts: DataFrame, model: Model, tried: np.ndarray) -> DataFrame:
-    """(key, n): tried contexts of one more symbol than the tree's depth, and the symbols behind them.
+def count_successors(texts: DataFrame, low: int, high: int, may: object) -> DataFrame:
+    """(d, w1.., c, n): symbols c behind contexts of low to high symbols, which may() lets through.
 
-    tried: sorted keys state * size + symbol. key: number in tried * size + next symbol; the start as the next symbol,
-    which is behind nothing, stands for the context itself.
+    may(): broadcast (function of the symbols before, their context hashes and where there are any, by depth, to masks).
     """
-    send = texts.sparkSession.sparkContext.broadcast((vars(model), tried))
+    names = symbols_of(high)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields, keys = send.value
-        own = Model(**fields)
-        depth = len(own.states) + 1
-        grown = Model(own.words, own.counts, own.total, own.distinct, own.ends, own.masses, [*own.states, (keys, keys)])
-        reader, held, size = Reader(own), [], 0
-
-        def handed() -> pa.RecordBatch:
-            found, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, where = np.unique(found, return_inverse=True)
+        held: list[tuple] = []
+        lets, size = may(), 0
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            for d in range(low, high + 1):
+                own = [x for depth, *x in held if depth == d]
+                if not own:
+                    continue
+                key, c, *before = (np.concatenate(x) for x in zip(*own, strict=True))
+                _, first, n = np.unique(hashed(c, key), return_index=True, return_counts=True)
+                none = np.zeros(len(first), np.int64)
+                columns = [b[first] for b in before] + [none] * (high - d)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), d, np.int32)), *map(pa.array, columns), pa.array(c[first]), pa.array(n.astype(np.int64))], ["d", *names, "c", "n"])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(order), pa.array(np.bincount(where, n, len(order)).astype(np.int64))], ["key", "n"])
 
         for batch in batches:
             for part in slices(batch, 0):
-                symbols, _, _ = reader.symbols(part.column(0).to_pylist())
-                state = contexts(symbols, grown, depth)[-1] if len(symbols) else symbols
-                at = np.nonzero(state >= 0)[0]
-                here = state[at]
-                held.append(np.unique(here * own.size + symbols[at], return_counts=True))
-                times = np.bincount(here)
-                met = np.nonzero(times)[0]
-                held.append((met * own.size + own.size - 1, times[met]))
-                size += len(held[-2][0]) + len(met)
-                if size > 4 * HELD:
-                    yield handed()
+                s, _ = symbols(part.column(0).to_pylist())
+                earlier, keys, there = contexts(s, high)
+                for d, mask in lets(earlier, keys, there):
+                    at = np.nonzero(mask)[0]
+                    held.append((d, keys[d - 1][at], s[at], *(e[at] for e in earlier[:d])))
+                    size += len(at)
+                if size > HELD:
+                    yield from handed()
                     size = 0
-        if held:
-            yield handed()
+        yield from handed()
+        give_back()
 
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    schema = ", ".join(["d int", *(f"{w} long" for w in names), "c long", "n long"])
+    return texts.mapInArrow(run, schema).groupBy("d", *names, "c").agg(F.sum("n").alias("n"))
 
 
-def to_arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """key and n of a table, by key."""
-    got = df.toArrow()
-    keys, n = got.column("key").to_numpy().astype(np.int64), got.column("n").to_numpy().astype(np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order]
-
-
-def fit(docs: DataFrame, depth: int = 3, word_least: int = 2, context_least: int = 8, pair_least: int = 2, gain: float = 3.0) -> Model:
+def fit(docs: DataFrame, depth: int = 3, context_least: int = 8, pair_least: int = 3, gain: float = 3.0) -> Model:
     """Learn a tree.
 
-    word_least, context_least, pair_least: how often a word, a context or a context with its successor must occur in
-    the training texts to be in the model, whatever their size. gain: nats of likelihood that a context must win over
-    its suffix for each successor that it stores.
+    context_least, pair_least: how often a context, or a context with its successor, must occur in the training texts
+    to be in the model, whatever their size. gain: nats of likelihood that a context must win over its suffix for each
+    successor that it stores. Null and empty texts are an end alone; without training texts the base is all there is.
     """
+    spark = docs.sparkSession
     texts = training(docs)
-    counted = materialize(count_words(texts), "words")
-    sums = counted.agg(F.sum("n"), F.count("word"), F.sum(F.when(F.col("word").isNull(), F.col("n")))).first()
-    total, words, ends = sums[0] or 0, sums[1], sums[2] or 0
-    known = counted.where(F.col("word").isNotNull())
-    hashes, counts = to_arrays(known.where(F.col("n") >= word_least).select(F.xxhash64("word").alias("key"), "n"))
-    masses = np.full(CLASSES, 0.5)
-    for r in known.where(F.col("n") < word_least).groupBy("form").agg(F.sum("n"), F.count("*")).collect():
-        masses[r[0]] += r[1] + 0.5 * r[2]
-    model = Model(hashes, counts, total, words + (ends > 0), ends, masses)
-    # symbols before which something stands: the first level's contexts are symbols
-    own = np.concatenate((model.counts, masses.astype(np.int64), [0, ends]))
-    tried = np.nonzero(own >= context_least)[0].astype(np.int64)
-    suffix = np.zeros(len(tried), np.int64)
-    for _ in range(depth):
-        if not len(tried):
-            break
-        itself = F.col("key") % model.size == model.size - 1
-        level = materialize(count_successors(texts, model, tried).where((F.col("n") >= pair_least) | itself), "successors")
-        found = _grow_level(model, tried, suffix, level, gain, context_least)
-        remove(level)
-        if not len(model.states[-1][0]):
-            break
-        if len(model.states) == 1:
-            pairs = found
-        tried, suffix = _next(model, pairs)
+    words = materialize(count_words(texts), "words")
+    sums = words.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("h") == END, F.col("n")))).first()
+    total, distinct, ends = sums[0] or 0, sums[1], sums[2] or 0
+    top = most_frequent([words.select(F.col("h").alias("key"), "n")], "n", WORDS)
+    model = Model(total, distinct, ends, words)
+    cache = Cache(top, distinct <= WORDS)
+    send = spark.sparkContext.broadcast(top)
+    sure = cache.all_words or (len(top[1]) and top[1].min() < context_least)  # the other words are not frequent
+
+    def first():
+        keys, n = send.value
+
+        def lets(earlier, hashes, there):
+            times, known = find((keys, n), earlier[0], context_least if not sure else 0)
+            yield 1, there[0] & ((times >= context_least) | (earlier[0] == START))
+
+        return lets
+
+    pairs = materialize(count_successors(texts, 1, 1, first).where(F.col("n") >= pair_least), "successors")
+    base_total = model.base_total
+    base = words.select(F.col("h").alias("c"), F.log10((F.col("n") + 0.5) / base_total).alias("base"))
+    totals = words.where(F.col("n") >= context_least).select(F.col("h").alias("w1"), F.col("n").alias("total"))
+    totals = totals.where(F.col("w1") != END).union(spark.createDataFrame([(START, ends)] if ends >= context_least else [], "w1 long, total long"))
+    level = pairs.join(totals, "w1").join(base, "c").withColumn("lower", F.col("base"))
+    _grow(model, level, 1, gain)
+    if depth > 1:
+        # contexts that may be frequent: all their pairs are
+        often = bit_map([pairs.where((F.col("n") >= context_least) & (F.col("c") != END)).select(key_of(["c", "w1"]))])
+        bits = spark.sparkContext.broadcast(often)
+
+        def deeper():
+            own = bits.value
+
+            def lets(earlier, hashes, there):
+                pair = there[1] & marked(own, hashes[1])
+                mask = pair
+                for d in range(2, depth + 1):
+                    yield d, mask & there[d - 1]
+                    mask = mask.copy()
+                    mask[d - 1 :] &= pair[: -(d - 1)]
+                    mask[: d - 1] = False
+
+            return lets
+
+        counted = materialize(count_successors(texts, 2, depth, deeper).where(F.col("n") >= pair_least), "successors")
+        before = pairs
+        for d in range(2, depth + 1):
+            own = symbols_of(d)
+            # a context's count: how often its last symbol stands behind the others
+            renamed = before.select(F.col("c").alias("w1"), *(F.col(w).alias(f"w{i}") for i, w in enumerate(symbols_of(d - 1), 2)), F.col("n").alias("total"))
+            lower = model.successors[-1].select(*symbols_of(d - 1), "c", F.col("full").alias("lower"), (F.col("full") - F.col("gain")).alias("base"))
+            here = counted.where(F.col("d") == d).select(*own, "c", "n")
+            level = here.join(renamed.where(F.col("total") >= context_least), own).join(lower, [*symbols_of(d - 1), "c"])
+            _grow(model, level, d, gain)
+            before = here
+    cache.states = most_frequent([t.select(key_of(symbols_of(d)), "n", "left") for d, t in enumerate(model.states, 1)], "left", STATES)
+    cache.successors = most_frequent([t.select(key_of([*symbols_of(d), "c"]), "n", "gain") for d, t in enumerate(model.successors, 1)], "gain", SUCCESSORS)
+    cache.state_bits = bit_map([t.select(key_of(symbols_of(d))) for d, t in enumerate(model.states, 1)])
+    cache.successor_bits = bit_map([t.select(key_of([*symbols_of(d), "c"])) for d, t in enumerate(model.successors, 1)])
+    model.cache = cache
     return model
 
 
-def _grow_level(model: Model, tried: np.ndarray, suffix: np.ndarray, level: DataFrame, gain: float, least: float) -> tuple:
-    """Add a level to the tree, block by block of the tried contexts. Returns the pairs of all blocks."""
-    ranges = RANGES * max(1, -(-level.count() // BLOCK))
-    width = -(-len(tried) // ranges)
-    rows = np.zeros(ranges, np.int64)
-    for r in level.groupBy(F.floor(F.col("key") / F.lit(model.size * width)).alias("at")).count().collect():
-        rows[r[0]] = r[1]
-    blocks, first = [], 0
-    for last in range(1, ranges + 1):
-        if last == ranges or rows[first : last + 1].sum() > BLOCK:
-            low, high = first * width, min(last * width, len(tried))
-            within = level.where((F.col("key") >= low * model.size) & (F.col("key") < high * model.size))
-            blocks.append(_grow(model, tried, suffix, *to_arrays(within), gain, least))
-            first = last
-    keys, left, owner, symbol, full, *pairs = (np.concatenate(x) for x in zip(*blocks, strict=True))
-    del blocks
-    model.states.append((keys, left))
-    model.successors.append((np.searchsorted(keys, owner) * model.size + symbol, full))
-    return tuple(pairs)
-
-
-def _grow(model: Model, tried: np.ndarray, suffix: np.ndarray, keys: np.ndarray, n: np.ndarray, gain: float, least: float) -> tuple:
-    """Those of the tried contexts that are frequent and whose successors diverge enough from their suffixes'.
-
-    Returns the keys of those that stay and what is left to their suffixes, their successors (key of the state,
-    symbol, log10 probability), and the frequent pairs of all tried contexts (tried context, successor, count).
+def _grow(model: Model, level: DataFrame, d: int, gain: float) -> None:
+    """Add a level: those of its contexts whose successors diverge enough from what their suffixes give.
+
+    level: (w1.., c, n, total, base, lower): lower is log10 of the suffix's probability of c, base that of the root's. A
+    context's sums are aggregates that each task combines, joined back to its successors, so no context gathers in a task.
     """
-    size, depth = model.size, len(model.states) + 1
-    itself = keys % size == size - 1
-    # those that this block has, from here on by their place in it
-    here, there = keys[itself] // size, n[itself]
-    tried, suffix = tried[here], suffix[here]
-    totals = there
-    keys, n = keys[~itself], n[~itself]
-    owner, symbol = np.searchsorted(here, keys // size), keys % size
-    kept = np.where(n > DISCOUNT, n - DISCOUNT, 0.0) / np.maximum(totals[owner], 1)
-    left = 1 - np.bincount(owner, kept, len(tried))
-    # what the suffix gives the same symbols
-    lower = np.zeros(len(keys))
-    open_, state, root = np.ones(len(keys), bool), suffix[owner], model.root()
-    for d in range(depth - 1, 0, -1):
-        own_keys, values = model.successors[d - 1]
-        at = np.nonzero(open_)[0]
-        found = find(own_keys, state[at] * size + symbol[at])
-        hit = found >= 0
-        lower[at[hit]] += values[found[hit]]
-        lower[at[~hit]] += model.states[d - 1][1][state[at[~hit]]]
-        open_[at[hit]] = False
-        state = model.states[d - 1][0][state] // size
-    lower[open_] += root[symbol[open_]]
-    full = np.log10(kept + np.maximum(left, 1e-9)[owner] * 10**lower)
-    won = np.bincount(owner, n * (full - lower) * np.log(10), len(tried))
-    stored = np.bincount(owner, minlength=len(tried))
-    stays = (stored > 0) & (totals >= least) & (won >= gain * stored)
-    mine = stays[owner]
-    often = n >= least
-    return tried[stays], np.log10(np.maximum(left[stays], 1e-9)), tried[owner[mine]], symbol[mine], full[mine], tried[owner[often]], symbol[often], n[often]
-
-
-def _next(model: Model, pairs: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts to try at the next level: a state with one earlier symbol, and the number of the state.
-
-    No context is more frequent than the pair of its first two symbols, so pairs (first, second, count) has the
-    frequent ones only.
+    own = symbols_of(d)
+    level = materialize(level.select(*own, "c", "n", "total", "base", "lower", ((F.col("n") - DISCOUNT) / F.col("total")).alias("kept")), "level")
+    sums = level.groupBy(*own).agg((1 - F.sum("kept")).alias("left"), F.count("*").alias("stored"))
+    full = F.log10(F.col("kept") + F.col("left") * F.pow(F.lit(10.0), "lower"))
+    weighed = level.join(sums, own).groupBy(*own).agg(F.max("total").alias("n"), F.first("left").alias("rest"), F.max("stored").alias("stored"), F.sum(F.col("n") * (full - F.col("lower")) * float(np.log(10))).alias("won"))
+    states = materialize(weighed.where(F.col("won") >= gain * F.col("stored")).select(*own, F.col("n"), F.log10("rest").alias("left")), "states")
+    joined = level.join(states.select(*own, F.pow(F.lit(10.0), "left").alias("left")), own).withColumn("full", full)
+    model.states.append(states)
+    model.successors.append(materialize(joined.select(*own, "c", "n", "full", (F.col("full") - F.col("base")).alias("gain")), "successors"))
+    remove(level)
+
+
+def walk(s: np.ndarray, cache: Cache, depth: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For each symbol what its longest context adds to the base's log10 probability, as far as the cache can tell.
+
+    Returns the sums, the depth from which tables have to tell (0: none), and the symbols before, by depth.
     """
-    size = model.size
-    keys, _ = model.states[-1]
-    earlier, later, _ = pairs
-    # the earliest symbol of each state at this level
-    oldest = keys % size
-    order = np.argsort(later, kind="stable")
-    earlier, later = earlier[order], later[order]
-    low, high = np.searchsorted(later, oldest, "left"), np.searchsorted(later, oldest, "right")
-    states = np.repeat(np.arange(len(keys)), high - low)
-    inner = np.arange(len(states)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
-    tried = states * size + earlier[np.repeat(low, high - low) + inner] if len(states) else np.zeros(0, np.int64)
-    tried = np.sort(tried)
-    return tried, tried // size
+    earlier, keys, there = contexts(s, depth) if depth else ([], [], [])
+    out, ask, open_ = np.zeros(len(s)), np.zeros(len(s), np.int8), np.ones(len(s), bool)
+    may = []
+    for d in range(depth):
+        at = np.nonzero(there[d] & (may[-1] if may else True))[0]  # a state's suffix is a state
+        is_state = np.zeros(len(s), bool)
+        is_state[at[marked(cache.state_bits, keys[d][at])]] = True
+        may.append(is_state)
+    for d in range(depth, 0, -1):
+        at = np.nonzero(open_ & may[d - 1])[0]
+        grams = hashed(s[at], keys[d - 1][at])
+        added, hit = find(cache.successors, grams, 0.0)
+        out[at[hit]] += added[hit]
+        open_[at[hit]] = False
+        at, grams = at[~hit], grams[~hit]
+        left, known = find(cache.states, keys[d - 1][at], 0.0)
+        known &= ~marked(cache.successor_bits, grams)  # surely not stored
+        out[at[known]] += left[known]
+        ask[at[~known]] = d
+        open_[at[~known]] = False
+    return out, ask, earlier
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs, which may be any table.
 
-    docs has to be the table that the model was fitted on: the counts of rare words, which the model doesn't hold, are
-    taken from its training rows on the way. Null and empty texts are an end alone. Repeated rows and ids are scored row by row. Other columns are not read.
+    Null and empty texts are an end alone. Repeated rows and ids are scored row by row. Other columns are not read.
     """
-    send = docs.sparkSession.sparkContext.broadcast(vars(model))
-    rows = docs.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 5) != 1, F.lit(False)).alias("trains"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text"))
-    schema = "word binary, row long, n long, trains boolean, is_text boolean, doc_id long, n_tokens long, n_known long, base double, score double"
+    depth, names = model.depth, symbols_of(max(model.depth, 1))
+    send = docs.sparkSession.sparkContext.broadcast(vars(model.cache))
+    base_total = model.base_total
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text"))
+    columns = ["d", "row", *names, "c", "n", "doc_id", "n_tokens", "base", "added"]
+    schema = ", ".join(["d int", "row long", *(f"{w} long" for w in names), "c long", "n long", "doc_id long", "n_tokens long", "base double", "added double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(**send.value)
-        reader, root = Reader(own), own.root()
-        z, first = np.log10(own.base_total), len(own.words)
-        with np.errstate(divide="ignore"):
-            base = np.concatenate((np.log10(own.counts + 0.5) - z, np.full(CLASSES, -z), [np.log10(own.ends + 0.5) - z, 0.0]))
-        share = np.concatenate((np.zeros(first), np.log10(own.masses), [0.0, 0.0]))
-        known = np.concatenate((np.ones(first), np.zeros(CLASSES), [float(own.ends > 0), 0.0]))
-        for batch in batches:
-            for part in slices(batch, 3):
-                ids, trains, numbers, texts = (part.column(i).to_pylist() for i in range(4))
-                symbols, starts, rare = reader.symbols(texts)
-                logs = log_scores(symbols, own, root) - share[symbols]
-                sums = [np.add.reduceat(x, starts) for x in (logs, base[symbols], known[symbols])]
-                lengths = np.diff(np.concatenate((starts, [len(symbols)]))) - 1
-                m = len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b" %d" % r for r in numbers], pa.binary()), pa.array(numbers, pa.int64()), pa.array([0] * m, pa.int64()), pa.array(trains, pa.bool_()), pa.array([True] * m, pa.bool_())]
-                    + [pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums[2].astype(np.int64)), pa.array(sums[1]), pa.array(sums[0])],
-                    names,
-                )
-                counted = [(w, r, n, t) for r, t, own_rare in zip(numbers, trains, rare, strict=True) for w, n in Counter(own_rare).items()]
-                if counted:
-                    w, r, n, t = zip(*counted, strict=True)
-                    m = len(w)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(w, pa.binary()), pa.array(r, pa.int64()), pa.array(n, pa.int64()), pa.array(t, pa.bool_()), pa.array(np.zeros(m, bool)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())],
-                        names,
-                    )
-
-    names = [c.split()[0] for c in schema.split(", ")]
-    found = rows.mapInArrow(run, schema)
-    # a text's own row has a key that no word can have, so nothing gathers there
-    count = F.sum(F.when(F.col("trains"), F.col("n")).otherwise(0)).over(Window.partitionBy("word"))
-    found = found.withColumn("c", count)
-    rare = F.when(~F.col("is_text"), F.col("n") * F.log10(F.col("c") + 0.5)).otherwise(0.0)
-    sums = found.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("n_tokens").alias("n_tokens"),
-        (F.max("n_known") + F.sum(F.when(~F.col("is_text") & (F.col("c") > 0), F.col("n")).otherwise(0))).alias("n_known"),
-        (F.max("base") + F.sum(rare)).alias("base_score"),
-        (F.max("score") + F.sum(rare)).alias("score"),
-    )
-    return sums.select("doc_id", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def held_out(doc_id: F.col) -> F.col:
-    return F.coalesce(crc_mod(doc_id, 5) == 1, F.lit(False))
+        cache = Cache(**send.value)
+        z = np.log10(base_total)
 
+        def made(m: int, **own) -> pa.RecordBatch:
+            kinds = {"d": pa.int32(), "base": pa.float64(), "added": pa.float64()}
+            return pa.RecordBatch.from_arrays([pa.array(own[c], kinds.get(c, pa.int64())) if c in own else pa.nulls(m, kinds.get(c, pa.int64())) for c in columns], columns)
 
+        for batch in batches:
+            for part in slices(batch, 2):
+                ids, numbers = part.column(0).to_pylist(), part.column(1).to_numpy()
+                s, starts = symbols(part.column(2).to_pylist())
+                lengths = np.diff(np.concatenate((starts, [len(s)])))
+                owner = np.repeat(np.arange(len(starts)), lengths)
+                counts, hit = find(cache.words, s, 0)
+                start = s == START
+                asks = ~hit & ~start & (not cache.all_words)
+                base = np.where(start | asks, 0.0, np.log10(counts + 0.5) - z)
+                added, ask, earlier = walk(s, cache, depth)
+                sums = [np.add.reduceat(x, starts) for x in (base, added, hit.astype(np.int64))]
+                yield made(len(ids), d=np.full(len(ids), -1, np.int32), row=numbers, doc_id=ids, n=sums[2], n_tokens=lengths - 1, base=sums[0], added=sums[1])
+                at = np.nonzero(asks)[0]
+                if len(at):
+                    _, first, n = np.unique(hashed(s[at], owner[at]), return_index=True, return_counts=True)
+                    at = at[first]
+                    yield made(len(at), d=np.zeros(len(at), np.int32), row=numbers[owner[at]], c=s[at], n=n)
+                at = np.nonzero(ask)[0]
+                if len(at):
+                    yield made(len(at), d=ask[at].astype(np.int32), row=numbers[owner[at]], c=s[at], **{w: e[at] for w, e in zip(names, earlier, strict=True)})
+        give_back()
+
+    read = materialize(rows.mapInArrow(run, schema), "read")
+    known = model.words.select(F.col("h").alias("c"), F.col("n").alias("times"))
+    rare = read.where("d = 0").select("row", "c", "n").join(known, "c", "left")
+    base = F.col("n") * (F.log10(F.coalesce("times", F.lit(0)) + 0.5) - F.lit(float(np.log10(base_total))))
+    parts = [
+        read.where("d = -1").select("row", "doc_id", "n_tokens", F.col("n").alias("n_known"), "base", "added"),
+        _part(rare.groupBy("row").agg(F.sum(F.when(F.col("times").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"), F.sum(base).alias("base"), F.lit(0.0).alias("added"))),
+    ]
+    goes_on = None
+    for d in range(depth, 0, -1):
+        own = symbols_of(d)
+        asked = read.where(F.col("d") == d).select("row", *names, "c")
+        asked = asked.unionByName(goes_on) if goes_on is not None else asked
+        found = asked.join(model.successors[d - 1].select(*own, "c", "gain"), [*own, "c"], "left").join(model.states[d - 1].select(*own, "left"), own, "left")
+        if d > 1:
+            found = materialize(found.select("row", *names, "c", "gain", "left"), "found")
+            goes_on = found.where("gain is null").select("row", *names, "c")
+        parts.append(_part(found.groupBy("row").agg(F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), F.sum(F.coalesce("gain", "left", F.lit(0.0))).alias("added"))))
+    sums = reduce(DataFrame.unionByName, parts).groupBy("row").agg(*(F.max(x).alias(x) for x in ("doc_id", "n_tokens")), *(F.sum(x).alias(x) for x in ("n_known", "base", "added")))
+    return sums.select("doc_id", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("added")).alias("score"))
+
+
+def _part(sums: DataFrame) -> DataFrame:
+    return sums.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), "n_known", "base", "added")
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(crc_mod(doc_id, 5) == 1, F.lit(False))

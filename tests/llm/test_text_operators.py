@@ -1,6 +1,7 @@
 """Operators on single texts and pages: defined results in odd cases, brute force, round trips, held-out accuracy."""
 
 import base64
+import math
 import random
 import re
 import zlib
@@ -354,55 +355,110 @@ class TestTokenCounts:
 class TestSuffixTree:
     def corpus(self, spark):
         draw = random.Random(9)
-        after = {w: [draw.choice("abcdefgh") for _ in range(2)] for w in "abcdefgh"}
+        after = {w: draw.sample("abcde", 2) for w in "abcde"}
         texts = []
         for _ in range(300):
-            w, out = "a", []
+            w, out = "a", ["a" * 3]
             for _ in range(40):
-                w = draw.choice(after[w])
+                likely = after[w][zlib.crc32(" ".join(out[-3:]).encode()) % 2]  # by the last three
+                w = likely if draw.random() < 0.9 else draw.choice("abcde")
                 out.append(w * 3)
             texts.append(" ".join(out))
         return docs(spark, [*texts, None, "", "unseen words only", "aaa. bbb, 123 é"])
 
-    def test_base_scores_and_gain(self, spark):
-        import math
-
+    def brute(self, texts, trains, depth=3, context_least=8, pair_least=3, gain=3.0):
+        """(n_known, base, score) of each text by plain dictionaries."""
+        tokens = [[*(t or "").lower().split(), None] for t in texts]
+        learnt = [t for t, ok in zip(tokens, trains, strict=True) if ok]
+        words = Counter(w for t in learnt for w in t)
+        z = sum(words.values()) + 0.5 * (len(words) + 1)
+        root = lambda w: (words[w] + 0.5) / z
+        grams = {d: Counter() for d in range(1, depth + 1)}
+        totals = Counter()
+        for t in learnt:
+            line = ["<s>", *t]
+            for i in range(1, len(line)):
+                for d in range(1, depth + 1):
+                    if i >= d:
+                        grams[d][(*line[i - d : i], line[i])] += 1
+                        totals[tuple(line[i - d : i])] += 1
+        states = {}
+
+        def p(w, context):
+            if context not in states:
+                return p(w, context[1:]) if context else root(w)
+            kept, left = states[context]
+            return kept.get(w, 0.0) + left * p(w, context[1:])
+
+        for d in range(1, depth + 1):
+            new = {}
+            for context in {g[:-1] for g in grams[d]}:
+                if totals[context] < context_least or d > 1 and context[1:] not in states:
+                    continue
+                kept = {g[-1]: (n - suffix_tree.DISCOUNT) / totals[context] for g, n in grams[d].items() if g[:-1] == context and n >= pair_least}
+                left = 1 - sum(kept.values())
+                won = sum(grams[d][(*context, w)] * math.log((k + left * p(w, context[1:])) / p(w, context[1:])) for w, k in kept.items())
+                if kept and won >= gain * len(kept):
+                    new[context] = kept, left
+            states.update(new)
+        out = []
+        for t in tokens:
+            line = ["<s>", *t]
+            s = sum(math.log10(p(line[i], tuple(line[max(0, i - depth) : i]))) for i in range(1, len(line)))
+            out.append((sum(words[w] > 0 for w in t), sum(math.log10(root(w)) for w in t), s))
+        return out, states, p
+
+    def caches(self, monkeypatch, size, bits):
+        for name in ("WORDS", "STATES", "SUCCESSORS"):
+            monkeypatch.setattr(suffix_tree, name, size)
+        monkeypatch.setattr(suffix_tree, "BITS", bits)
+
+    @pytest.mark.parametrize(("size", "bits"), [(1 << 18, 1 << 20), (3, 1 << 20), (3, 64), (0, 8)])
+    def test_scores_against_brute_force_whatever_the_caches_hold(self, spark, monkeypatch, size, bits):
+        self.caches(monkeypatch, size, bits)
         df = self.corpus(spark)
-        model = suffix_tree.fit(df)
-        rows = suffix_tree.score(df, model).collect()
-        texts = {r.doc_id: r.text for r in df.collect()}
-        counts = Counter()
-        for i, t in texts.items():
-            if zlib.crc32(str(i).encode()) % 5 != 1:
-                counts.update((t or "").lower().split())
-                counts[None] += 1
-        total, z = sum(counts.values()), sum(counts.values()) + 0.5 * (len(counts) + 1)
-        assert len(rows) == len(texts)
-        for r in rows:
-            words = [*(texts[r.doc_id] or "").lower().split(), None]
-            assert (r.n_tokens, r.train_tokens, r.n_known) == (len(words), total, sum(counts[w] > 0 for w in words))
-            assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / z) for w in words))
+        rows = sorted(suffix_tree.score(df, suffix_tree.fit(df)).collect(), key=lambda r: r.doc_id)
+        texts = [r.text for r in df.orderBy("doc_id").collect()]
+        wanted, states, _ = self.brute(texts, [zlib.crc32(str(i).encode()) % 5 != 1 for i in range(len(texts))])
+        assert {len(c) for c in states} == {1, 2, 3}
+        assert [r.n_known for r in rows] == [w[0] for w in wanted]
+        assert [r.base_score for r in rows] == pytest.approx([w[1] for w in wanted])
+        assert [r.score for r in rows] == pytest.approx([w[2] for w in wanted])
         held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 == 1 and r.n_tokens > 10]
         assert sum(r.score for r in held) > 0.75 * sum(r.base_score for r in held)
-        assert model.states
+
+    def test_a_model_scores_other_tables(self, spark, monkeypatch):
+        self.caches(monkeypatch, 3, 64)
+        df = self.corpus(spark)
+        texts = [r.text for r in df.orderBy("doc_id").collect()]
+        other = ["aaa bbb ccc unseen bbb", None, "ddd ddd eee", "aaa " * 5000]
+        rows = suffix_tree.score(docs(spark, other, {"row": F.lit(1), "c": F.lit(2)}), suffix_tree.fit(df)).orderBy("doc_id").collect()
+        wanted, _, _ = self.brute([*texts, *other], [zlib.crc32(str(i).encode()) % 5 != 1 for i in range(len(texts))] + [False] * len(other))
+        assert [r.score for r in rows] == pytest.approx([w[2] for w in wanted[-len(other) :]])
 
     def test_it_is_a_distribution(self, spark):
+        # of the brute force, which the operator equals
+        texts = [r.text for r in self.corpus(spark).collect()]
+        _, states, p = self.brute(texts, [True] * len(texts))
+        words = {w for t in texts for w in (t or "").lower().split()} | {None}
+        for context in [(), ("nowhere",), *list(states)[:: max(1, len(states) // 40)]]:
+            assert sum(p(w, context) for w in words) + p("unseen word", context) == pytest.approx(1.0)
+
+    def test_hashes_are_those_of_spark(self, spark):
         import numpy as np
 
-        model = suffix_tree.fit(self.corpus(spark))
-        root = model.root()
-        size, start = model.size, model.size - 1
-        for context in ([], [0], [1, 0], [3, 2, 1], [0, 0, 0]):
-            total = 0.0
-            for s in range(start):
-                symbols = np.array([start, *context, s])
-                total += 10 ** suffix_tree.log_scores(symbols, model, root)[-1]
-            assert total == pytest.approx(1.0, abs=1e-6), (context, size)
+        rows = [(-5, 7, 1 << 62), (0, 0, 0), (-(1 << 63), (1 << 63) - 1, 3)]
+        got = [r[0] for r in spark.createDataFrame(rows, "a long, b long, c long").select(F.xxhash64("a", "b", "c")).collect()]
+        a, b, c = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+        assert suffix_tree.hashed(c, suffix_tree.hashed(b, suffix_tree.hashed(a, 42))).tolist() == got
 
     def test_empty_tables_and_repeats(self, spark):
         df = docs(spark, ODD)
         none = df.where("false")
         assert suffix_tree.score(none, suffix_tree.fit(none)).count() == 0
+        unlearnt = suffix_tree.score(df, suffix_tree.fit(none)).collect()
+        assert len(unlearnt) == len(ODD)
+        assert all(r.n_known == 0 and r.score == r.base_score for r in unlearnt)
         twice = df.union(df)
         rows = suffix_tree.score(twice, suffix_tree.fit(twice)).collect()
         assert len(rows) == 2 * len(ODD)
@@ -419,26 +475,5 @@ class TestSuffixTree:
         for n in (50, 1000):
             texts = [" ".join(f"a{i} b{i} c{i}" for _ in range(3)) for i in range(n) for _ in range(5)] + ["x y " * 300_000] * 2
             model = suffix_tree.fit(docs(spark, texts))
-            grown[n] = len(model.words), len(model.states[0][0])
+            grown[n] = model.words.count(), model.states[0].count(), model.successors[0].count()
         assert all(b > 15 * a for a, b in zip(grown[50], grown[1000], strict=True)), grown
-
-    def test_blocks_give_the_same_tree(self, spark, monkeypatch):
-        df = self.corpus(spark)
-        whole = suffix_tree.fit(df)
-        monkeypatch.setattr(suffix_tree, "BLOCK", 7)
-        parts = suffix_tree.fit(df)
-        assert len(whole.states) > 1
-        for a, b in zip([*whole.states, *whole.successors], [*parts.states, *parts.successors], strict=True):
-            assert (a[0] == b[0]).all()
-            assert a[1] == pytest.approx(b[1])
-
-    def test_pairs_of_symbols_that_are_no_states(self):
-        import numpy as np
-
-        model = suffix_tree.Model(np.array([1, 2]), np.array([100, 100]), 200, 2, 0, np.full(suffix_tree.CLASSES, 0.5))
-        size, itself = model.size, model.size - 1
-        # the first word is followed by what follows everywhere, the second by the first
-        keys, n = np.array([0, 1, itself, size, size + itself]), np.array([50, 50, 100, 100, 100])
-        states, *_, first, second, count = suffix_tree._grow(model, np.array([0, 1]), np.zeros(2, np.int64), keys, n, 3.0, 8)
-        assert states.tolist() == [1]
-        assert [*zip(first.tolist(), second.tolist(), count.tolist(), strict=True)] == [(0, 0, 50), (0, 1, 50), (1, 0, 100)]
