@@ -39,7 +39,7 @@ def plain(x: Regex | str) -> Regex:
 
 def as_bytes(text: Column | str, binary: bool = False) -> Column:
     column = F.col(text) if isinstance(text, str) else text
-    return column if binary else F.encode(column, "UTF-8")
+    return column.cast("binary")  # not F.encode, which mends bytes that are no UTF-8
 
 
 def _over(data: Column, make: Callable[[], Callable], kind: str, arrow: pa.DataType) -> Column:

@@ -129,7 +129,10 @@ class TokenProgram:
     complete at the end.
     """
 
-    def __init__(self, machine: Machine, prefix: str) -> None:
+    def __init__(self, machine: Machine, prefix: str, quick: bytes | None = None) -> None:
+        """quick: a pattern with a group for each token, if tokens begin with different bytes and never have to give
+        back what they read; it finds tokens at C speed."""
+        self.quick = re.compile(quick, re.S).finditer if quick else None
         self.moves: list[list] = [[None] * 256 for _ in range(machine.n_states + 1)]
         still: dict[int, dict[int, int]] = {}
         for e in machine.edges:
@@ -151,6 +154,28 @@ class TokenProgram:
 
     def tokens(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, length, token) with the number of the token from 1 on, 0 for errors."""
+        found = self._quickly(data) if self.quick else None
+        return self._stepwise(data) if found is None else found
+
+    def _quickly(self, data: bytes) -> list[tuple[int, int, int]] | None:
+        """Tokens by the pattern, or None where a token begins and doesn't end: what is an error then, the machine says."""
+        out: list[tuple[int, int, int]] = []
+        at = 0
+        for m in self.quick(data):
+            start, end = m.span()
+            if start > at:
+                if self.nowhere is None or self.nowhere(data, at, start).end() < start:
+                    return None
+                out.append((at + 1, start - at, 0))
+            out.append((start + 1, end - start, m.lastindex))
+            at = end
+        if at < len(data):
+            if self.nowhere is None or self.nowhere(data, at).end() < len(data):
+                return None
+            out.append((at + 1, len(data) - at, 0))
+        return out
+
+    def _stepwise(self, data: bytes) -> list[tuple[int, int, int]]:
         out: list[tuple[int, int, int]] = []
         moves, skips, end = self.moves, self.skip, len(data)
         begin = at = 0  # where an error began, and where a token is tried

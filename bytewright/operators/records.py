@@ -160,8 +160,9 @@ def parse_records(df: DataFrame, text: str, parser: RecordParser, keys: Iterable
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}: there are {', '.join(MODES)}")
     kept = list(keys)
-    binary = df.schema[text].dataType.typeName() == "binary"
-    source = df.where(F.col(text).isNotNull()).select(*kept, F.col(text).alias("text") if binary else F.encode(text, "UTF-8").alias("text"))
+    if taken := {k.lower() for k in kept} & {"seq", "_status", "_error", *(f.name.lower() for f in parser.schema.fields)}:
+        raise ValueError(f"rename the keys {sorted(taken)}: records have columns of those names")
+    source = df.where(F.col(text).isNotNull()).select(*kept, F.col(text).cast("binary").alias("text"))
     schema = source.select(*kept).schema.add("seq", "integer")
     for f in parser.schema.fields:
         schema = schema.add(f.name, f.dataType)

@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from bytewright.functions.columns import expression, plain
 from bytewright.functions.runtime import TokenProgram
 from bytewright.plans.automata import Machine, compile_regex
+from bytewright.plans.native import is_deterministic, is_regular, java_pattern, nullable
 from bytewright.plans.regex import Regex, alt
 
 _PREFIX = "token "
@@ -41,8 +42,24 @@ class Tokenizer:
         marked = [x.on_final(m) for x, m in zip(self.expressions, marks, strict=True)]
         return compile_regex(alt(*marked), unambiguous=self.unambiguous, orders={m: 1000 + i for i, m in enumerate(marks)}, may_loop=frozenset(marks))
 
+    @cached_property
+    def quick(self) -> bytes | None:
+        """A pattern with a group for each token, where tokens begin with different bytes and are deterministic."""
+        seen = 0
+        for x in self.expressions:
+            if not is_regular(x) or not is_deterministic(x) or nullable(x):
+                return None
+            first = 0
+            for e in compile_regex(x).edges:
+                if e.source == 1:
+                    first |= e.labels.mask
+            if seen & first:
+                return None
+            seen |= first
+        return "|".join(f"({java_pattern(x)})" for x in self.expressions).encode("ascii")
+
     def program(self) -> TokenProgram:
-        return TokenProgram(self.machine, _PREFIX)
+        return TokenProgram(self.machine, _PREFIX, self.quick)
 
     def tokens(self, data: bytes | str) -> list[tuple[int, int, int | str]]:
         found = self.program().tokens(data.encode() if isinstance(data, str) else data)
@@ -55,16 +72,17 @@ def tokenize(df: DataFrame, text: str, tokenizer: Tokenizer, keys: Iterable[str]
     Positions and lengths are in bytes; seq numbers a text's tokens from 1. piece is the token's bytes as text, with a
     replacement character where a token cuts a character in two.
     """
-    kept, machine, names = list(keys), tokenizer.machine, tokenizer.names
-    binary = df.schema[text].dataType.typeName() == "binary"
-    source = df.select(*kept, F.col(text).alias("text") if binary else F.encode(text, "UTF-8").alias("text"))
+    kept, machine, names, quick = list(keys), tokenizer.machine, tokenizer.names, tokenizer.quick
+    if taken := {k.lower() for k in kept} & {"seq", "start", "len", "token", "piece"}:
+        raise ValueError(f"rename the keys {sorted(taken)}: tokens have columns of those names")
+    source = df.select(*kept, F.col(text).cast("binary").alias("text"))
     schema = source.select(*kept).schema.add("seq", "integer").add("start", "long").add("len", "integer").add("token", "string" if names else "integer")
     if texts:
         schema = schema.add("piece", "string")
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        program = TokenProgram(machine, _PREFIX)
+        program = TokenProgram(machine, _PREFIX, quick)
         label = pa.array(names) if names else None
         for batch in batches:
             column = batch.column(len(kept))

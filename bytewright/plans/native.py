@@ -131,5 +131,5 @@ def predicate(text: Column, x: Regex, is_binary: bool = False) -> Column | None:
         return None
     # characters stand for bytes where no set has bytes beyond ASCII
     plain = not is_binary and all(s.isdisjoint(HIGH) for s in sets_of(x))
-    subject = text if plain else F.decode(text if is_binary else F.encode(text, "UTF-8"), "ISO-8859-1")
+    subject = text if plain else F.decode(text.cast("binary"), "ISO-8859-1")
     return subject.rlike(f"\\A{java_pattern(x)}\\z")

@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytewright import formats
+from bytewright import fixture_queries, formats
 from bytewright.functions import columns as B
 from bytewright.functions.sql import register
 from bytewright.operators import explain
@@ -198,7 +198,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for
         first_error_ascii, error_location_ascii, status_props, validate_lines, tokenize_words, token_rows, token_histogram, token_top_words, token_join_labels, tokenize_html,
         parse_url, parse_props, parse_part_brand, parse_customer_number, line_records, action_log, resume_chunks, errors_in_chunks, sql_tokens, machine_edges, machine_states, trace_part_names,
     )
-}
+} | fixture_queries.QUERIES
 
 _PREFIX = r"regexp_extract(text, '^[\x00-\x7f]*')"
 _TOKENS = r"regexp_extract_all({}, '[A-Za-z]+|[0-9]+|[ \t\n]+|[^A-Za-z0-9 \t\n]+')"
@@ -221,6 +221,9 @@ ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in MATCHES.items()} |
     "token_join_labels": """
         WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]+')) AS n_words FROM documents)
         SELECT quality, sum(n_words)::BIGINT AS n_words, count(*) AS n FROM labels JOIN w USING (doc_id) WHERE n_words > 0 GROUP BY quality""",
+    "tokenize_html": """
+        SELECT token, count(*) AS n FROM (SELECT CASE WHEN t[1] NOT IN ('<', '&') THEN 'text' WHEN t[1] = '<' AND t[-1] = '>' THEN 'tag' WHEN t[1] = '&' AND t[-1] = ';' THEN 'entity' ELSE 'error' END AS token
+            FROM (SELECT unnest(regexp_extract_all(html, '<[^>]*>|<[^>]*$|[^<&]+|&#?[A-Za-z0-9]+;|&')) AS t FROM pages)) GROUP BY token""",
     "parse_url": r"""
         SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '://([^/?#]+)', 1) AS host, nullif(regexp_extract(url, '://[^/?#]+(/[^?#]*)', 1), '') AS path,
             nullif(regexp_extract(url, '\?([^#]+)', 1), '') AS query, nullif(regexp_extract(url, '#(.+)', 1), '') AS fragment FROM pages WHERE regexp_full_match(url, '[a-z]+://[^/?#:]+(/[^?#]*)?(\?[^#]*)?(#.*)?')""",
@@ -240,4 +243,4 @@ ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in MATCHES.items()} |
     "trace_part_names": r"""
         WITH u AS (SELECT p_partkey, p_name, unnest(range(0, length(p_name) + 1)) AS k FROM part)
         SELECT p_partkey, k::INTEGER AS at, CASE WHEN k < length(p_name) THEN ascii(p_name[k + 1]) END::SMALLINT AS byte, CASE WHEN k = length(p_name) THEN 0 WHEN p_name[k + 1] = ' ' THEN 1 ELSE 2 END::INTEGER AS state, '' AS actions FROM u""",
-}
+} | fixture_queries.ORACLE_SQL

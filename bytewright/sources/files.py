@@ -17,7 +17,7 @@ from bytewright.operators.records import RecordParser, parse_records
 def _zstd(raw: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+    return zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read()
 
 
 #: Extensions of compressed files.

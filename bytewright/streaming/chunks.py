@@ -130,7 +130,7 @@ def first_errors(chunks: DataFrame, x: Regex | str) -> DataFrame:
 
 def chunked(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """(stream_id, chunk_no, bytes, is_last): texts cut into chunks of size bytes; an empty text is one empty chunk."""
-    data = F.encode(text, "UTF-8")
+    data = F.col(text).cast("binary")
     n = F.greatest(F.lit(1), F.ceil(F.octet_length(data) / size)).cast("int")
     cut = df.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("stream_id"), data.alias("data"), n.alias("n"))
     cut = cut.select("*", F.explode(F.sequence(F.lit(1), "n")).alias("chunk_no"))

@@ -253,3 +253,36 @@ def test_bytes_are_translated(spark):
 
 def test_any_byte_includes_newlines(texts):
     assert values(texts(["a\nb", "\n"]), B.matches("t", rep(any_byte()))) == [True, True]
+
+
+class TestQuickTokens:
+    @pytest.mark.parametrize("tokens", [["[A-Za-z]+", "[0-9]+", "[ \t\n]+"], ["[^<&]+", "<[^>]*>", "&#?[A-Za-z0-9]+;"], ["a(bc)*", "x+y?", "[0-9]+(\\.[0-9]+)?"], ["(ab*c)+", "d(e(f)?)*"]])
+    def test_the_pattern_and_the_machine_agree(self, tokens):
+        import random
+
+        own = Tokenizer(tokens)
+        assert own.quick
+        draw, program = random.Random(3), own.program()
+        for _ in range(3000):
+            data = "".join(draw.choice("abcdefxy019. <>&;#\n!é") for _ in range(draw.randint(0, 12))).encode()
+            quick = program._quickly(data)
+            assert quick is None or quick == program._stepwise(data), data
+
+    def test_tokens_that_overlap_have_no_pattern(self):
+        assert Tokenizer(["a", "a*b"]).quick is None
+        assert Tokenizer(["a*b|a"]).quick is None or Tokenizer(["a*b|a"]).tokens("aac")[0][:2] == (1, 1)
+
+    def test_bytes_that_are_no_text(self, spark):
+        df = spark.sql("SELECT cast(X'61ff62' AS string) AS t, 1 AS k")
+        assert [(r.start, r.len) for r in tokenize(df, "t", Tokenizer(["[ab]"]), ["k"]).collect()] == [(1, 1), (2, 1), (3, 1)]
+        with pytest.raises(ValueError, match="rename"):
+            tokenize(df.withColumnRenamed("k", "len"), "t", Tokenizer(["a"]), ["len"])
+
+
+def test_files_of_several_frames(spark, tmp_path):
+    import zstandard
+
+    from bytewright.sources.files import read_files
+
+    (tmp_path / "a.zst").write_bytes(b"".join(zstandard.ZstdCompressor().compress(x) for x in (b"one ", b"two")))
+    assert bytes(read_files(spark, str(tmp_path)).first().content) == b"one two"
