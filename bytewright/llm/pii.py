@@ -89,10 +89,11 @@ PROPOSALS: tuple[tuple[str, re.Pattern, str], ...] = (
     ("account", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){3,8}(?![0-9A-Za-z])"), "digits"),
     ("number", re.compile(r"(?<![0-9A-Za-z.+])\(?[0-9]{2,5}\)?[ ./-][0-9]{2,5}(?:[ ./-][0-9]{2,5}){0,3}(?![0-9A-Za-z])"), "digits"),
     ("secret", re.compile(r"(?<![0-9A-Za-z_/+-])[0-9A-Za-z_/+-]{16,8192}+(?![0-9A-Za-z_/+-])={0,2}(?![0-9A-Za-z])"), "run"),
-    ("secret", re.compile(r"(?<=[\"'])[^\s\"']{8,128}(?=[\"'])"), "quotes"),
-    ("secret", re.compile(r"(?<=[:=] )[^\s\"']{8,128}(?=\s|\Z)"), "any"),
-    ("contact", re.compile(r"(?<![0-9A-Za-z._-])[A-Za-z0-9._-]{1,40} ?[\[({]? ?(?:at|AT|arroba) ?[\])}]? ?[A-Za-z0-9-]{1,40}(?: ?[\[({]? ?(?:dot|DOT|punto|point|punkt) ?[\])}]? ?[A-Za-z0-9-]{2,20}){1,3}(?![0-9A-Za-z])"), "dot"),
+    ("secret", re.compile(r"(?<=[\"'])[^\s\"']{8,8192}+(?=[\"'])"), "quotes"),
+    ("secret", re.compile(r"(?<=[:=] )[^\s\"']{8,8192}+(?=\s|\Z)"), "any"),
+    ("contact", re.compile(r"(?<![0-9A-Za-z._-])[A-Za-z0-9._-]{1,40} ?[\[({]? ?(?:at|AT|arroba) ?[\])}]? ?[A-Za-z0-9-]{1,40}(?: ?[\[({]? ?(?:dot|DOT|punto|point|punkt)(?![A-Za-z]) ?[\])}]? ?[A-Za-z0-9-]{2,20}){1,3}(?![0-9A-Za-z])"), "dot"),
 )
+#: What a text must have for a pattern to match anywhere in it; each follows from its pattern.
 NEEDS = {"run": re.compile(r"[0-9A-Za-z_/+-]{16}").search, "digits": re.compile(r"[0-9]").search, "quotes": re.compile(r"[\"']").search, "any": re.compile(r"[:=] ").search, "dot": re.compile(r"(?:dot|DOT|punto|point|punkt)(?![A-Za-z])").search}
 TOKEN = re.compile(r"[0-9A-Za-z]+")
 BEFORE = 24
