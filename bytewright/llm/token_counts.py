@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterable
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import map_texts
 
@@ -63,10 +64,11 @@ class CountedText:
     def __init__(self, text: str, counter: Counter) -> None:
         self.counter = counter
         self.encoded = 0
-        self._build(counter.pattern.findall(text))
+        pieces = counter.pattern.findall(text)
+        self._arrange(pieces, self._counts(pieces))
 
-    def _build(self, pieces: list[str]) -> None:
-        counts = self._counts(pieces)
+    def _arrange(self, pieces: list[str], counts: list[int]) -> None:
+        """Deal pre-tokens, whose counts are known, to leaves."""
         self.leaves = [(pieces[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(pieces), LEAF)] or [([], [])]
         self.width = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
@@ -176,10 +178,8 @@ class CountedText:
                 break
             leaf, at = leaf + 1, 0
         if len(self.leaves[first][0]) > 4 * LEAF:
-            everything = [p for own, _ in self.leaves for p in own]
-            encoded = self.encoded
-            self._build(everything)
-            self.encoded = encoded  # their counts are known
+            # a large insert: leaves are dealt anew, with the counts that they have
+            self._arrange([p for own, _ in self.leaves for p in own], [n for _, counts in self.leaves for n in counts])
             return
         for leaf in changed:
             i = self.width + leaf
@@ -191,9 +191,14 @@ class CountedText:
 
 
 def read_ranks(spark: SparkSession, path: str = VOCABULARY) -> dict[bytes, int]:
-    """Ranks from a vocabulary file, on any file system that Spark reads or the driver's own."""
-    with open(path, "rb") as file:
-        raw = file.read(VOCABULARY_BYTES + 1)
+    """Ranks from a vocabulary file: a path of the driver's machine, or one with a scheme, which Spark reads."""
+    if "://" in path:
+        found = spark.read.format("binaryFile").load(path)
+        size = found.agg(F.sum("length")).first()[0]
+        raw = bytes(found.first().content) if size <= VOCABULARY_BYTES else b"x" * (VOCABULARY_BYTES + 1)
+    else:
+        with open(path, "rb") as file:
+            raw = file.read(VOCABULARY_BYTES + 1)
     if len(raw) > VOCABULARY_BYTES:
         raise ValueError("the vocabulary file is larger than what executors may be sent")
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
