@@ -25,7 +25,8 @@ from .common import connected_components, forest, materialize
 BLOCK = 2048
 #: Rows of a tile, which is compared with a whole block at once.
 TILE = 256
-#: Numbers in the bases that are sent to executors at most (a basis has dimension squared).
+#: Numbers in the rotations that are sent to executors at most (one has dimension squared). Dimensions beyond them
+#: aren't rotated: their own coordinates are taken by falling share of the squares, which bounds and links as exactly.
 BASIS_NUMBERS = 4 << 20
 
 
@@ -41,8 +42,19 @@ def units(vectors: list) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
+def rotated(rows: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Rows in other coordinates: axes is a rotation, or an order of the coordinates."""
+    return rows @ axes if axes.ndim == 2 else rows[:, axes]
+
+
 def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     """For each dimension that occurs the axes (columns) of all its vectors, by falling share of their squares."""
+    sizes = sorted(r[0] for r in vectors.select(F.size("vector").alias("d")).distinct().collect())
+    whole, left = set(), BASIS_NUMBERS
+    for d in sizes:
+        left -= d * d
+        if left >= 0:
+            whole.add(d)
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
@@ -52,19 +64,22 @@ def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
                 by.setdefault(len(v), []).append(v)
             for d, own in by.items():
                 m = units(own)
-                sums[d] = sums.get(d, 0) + m.T @ m
+                sums[d] = sums.get(d, 0) + (m.T @ m if d in whole else (m * m).sum(axis=0))
         for d, total in sums.items():
-            i, j = np.indices(total.shape)
+            i, j = np.indices(total.shape) if d in whole else (np.arange(d), np.arange(d))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(total.size, d)), pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], ["d", "i", "j", "x"])
 
-    sizes = [r[0] for r in vectors.select(F.size("vector").alias("d")).distinct().limit(1000).collect()]
-    if sum(d * d for d in sizes) > BASIS_NUMBERS:
-        raise ValueError("too many or too large dimensions for bases that every executor holds")
     found = vectors.select("vector").mapInArrow(run, "d long, i long, j long, x double").groupBy("d", "i", "j").agg(F.sum("x").alias("x")).toArrow()
     d, i, j, x = (found.column(c).to_numpy() for c in range(4))
     out = {}
     for size in sizes:
-        total, mine = np.zeros((size, size)), d == size
+        mine = d == size
+        if size not in whole:
+            squares = np.zeros(size)
+            squares[i[mine]] = x[mine]
+            out[size] = np.argsort(-squares, kind="stable")
+            continue
+        total = np.zeros((size, size))
         total[i[mine], j[mine]] = x[mine]
         out[size] = np.linalg.eigh((total + total.T) / 2)[1][:, ::-1].copy()
     return out
@@ -74,7 +89,7 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: floa
     """Rows i of a and j of b whose cosine reaches the threshold; within one block those with i < j."""
     slack = 1e-9
     x, y = units(a), units(b)
-    p, q = x @ axes, y @ axes
+    p, q = rotated(x, axes), rotated(y, axes)
     d = p.shape[1]
     cuts = [c for c in (4, 8, 16, 32, 64, 128, 256, 512) if c < d] + [d]
     # norms of what follows each cut
@@ -122,18 +137,18 @@ def class_links(classes: DataFrame, threshold: float, block: int = BLOCK) -> Dat
             for k, v in enumerate(vectors):
                 by.setdefault(len(v), []).append(k)
             for d, own in by.items():
-                lead = units([vectors[k] for k in own]) @ axes[d][:, :2]
+                lead = rotated(units([vectors[k] for k in own]), axes[d][:, :2] if axes[d].ndim == 2 else axes[d][:2])
                 cells[own, : lead.shape[1]] = np.floor(lead / width)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(v) for v in vectors], pa.int64()), pa.array(cells[:, 0]), pa.array(cells[:, 1])], ["cid", "label", "vector", "members", "d", "u", "v"])
 
     cell = ["label", "d", "u", "v"]
-    placed = materialize(classes.select("cid", "label", "vector", "members").mapInArrow(place, "cid long, label long, vector array<double>, members long, d long, u long, v long"), "placed")
+    placed = materialize(classes.select("cid", "label", "vector", "members").mapInArrow(place, "cid long, label string, vector array<double>, members long, d long, u long, v long"), "placed")
     sizes = placed.groupBy(*cell).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     blocks = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*cell, "part")
     steps = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
     near = blocks.withColumn("s", F.explode(steps)).select("label", "d", (F.col("u") + F.col("s.x")).alias("u"), (F.col("v") + F.col("s.y")).alias("v"), F.col("u").alias("u1"), F.col("v").alias("v1"), F.col("part").alias("part1"))
     pairs = near.join(blocks, cell).where(F.struct("u1", "v1", "part1") <= F.struct("u", "v", "part"))
-    pairs = pairs.withColumn("pair", F.concat_ws(" ", "label", "d", "u1", "v1", "part1", "u", "v", "part"))
+    pairs = pairs.withColumn("pair", F.concat_ws(" ", "d", "u1", "v1", "part1", "u", "v", "part", "label"))
     same = F.struct("u1", "v1", "part1") == F.struct("u", "v", "part")
     sides = F.when(same, F.array(F.struct(F.lit(2).alias("side"), "u", "v", "part"))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("u1").alias("u"), F.col("v1").alias("v"), F.col("part1").alias("part")), F.struct(F.lit(1).alias("side"), "u", "v", "part")))
     work = pairs.withColumn("e", F.explode(sides)).select("pair", "label", "d", "e.*")
@@ -172,7 +187,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block: int = BL
     Other columns are not read; an empty table gives no rows.
     """
     vector = F.col("embedding").cast("array<double>")
-    read = vectors.select("vec_id", vector.alias("vector"), F.col("label").cast("long").alias("label"))
+    label = F.col("label") + F.lit(0.0) if dict(vectors.dtypes)["label"] in ("float", "double") else F.col("label")  # -0.0 equals 0.0
+    read = vectors.select("vec_id", vector.alias("vector"), label.cast("string").alias("label"))
     able = usable(F.col("vector")) & F.col("label").isNotNull()
     keyed = read.where(able).withColumn("digest", F.xxhash64("vector"))
     own = ["label", "digest", "vector"]
