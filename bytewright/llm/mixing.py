@@ -1,24 +1,30 @@
 """Mixing documents to target weights by iterative proportional fitting.
 
 Tokens are added up by cell, a combination of the values of all dimensions (source, language, topic). Raking scales
-the cells until the marginal of every dimension has its target shares. A cell's scale times one common factor is the
-expected number of times its documents are wanted; a document is drawn with that probability (1 at most), by a hash
-of its id, so that a draw can be repeated and does not depend on partitions.
+the cells until the marginal of every dimension has its target shares. A cell's scale times the wanted share of tokens
+is its weight, the expected number of times its documents are wanted. A document is drawn at most once, so the
+probabilities are raked by themselves, with a bound of 1: the same fitting, in which cells count what they give at a
+probability of 1 at most, until the marginals of the *probabilities* have the target shares. Where a value has too few
+tokens for its share, all of them are taken and the other values of its dimension share the rest; marginals() tells what
+was wanted and what is reached, so targets that contradict each other show. A document is drawn by a hash of its id, so
+that a draw can be repeated and does not depend on partitions.
 
 Cells are added up before anything is shuffled. Up to ``LOCAL_CELLS`` of them are fitted on the driver and sent to the
-documents; more are fitted and joined as distributed tables, with the same result.
+documents; more are fitted by the same rule and joined as distributed tables.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import fresh, materialize, remove
 
 #: Cells that are fitted on the driver and broadcast at most.
 LOCAL_CELLS = 50_000
@@ -60,36 +66,43 @@ def topic(text: Column) -> Column:
     )
 
 
-def rake(values: list[np.ndarray], mass: np.ndarray, wanted: list[np.ndarray], rounds: int, tolerance: float) -> np.ndarray:
-    """Scaled masses: values[d] numbers each cell's value of dimension d, and wanted[d] has the values' shares."""
-    out = mass / mass.sum()
+#: Scales beyond this are of cells that targets contradicting each other ask too much of.
+MOST = 1e9
+
+
+def reachable(shares: dict, masses: dict, budget: float) -> dict:
+    """Tokens wanted of each value: its share of the budget, or all that it has; the others make up for it."""
+    wanted = {v: 0.0 for v in shares}
+    open_ = {v for v, s in shares.items() if s > 0}
+    left = min(budget, sum(masses[v] for v in open_))
+    while open_:
+        total = sum(shares[v] for v in open_)
+        over = {v for v in open_ if left * shares[v] / total >= masses[v]}
+        if not over:
+            return wanted | {v: left * shares[v] / total for v in open_}
+        for v in over:
+            wanted[v] = float(masses[v])
+            left -= masses[v]
+        open_ -= over
+    return wanted
+
+
+def rake(values: list[np.ndarray], mass: np.ndarray, wanted: list[np.ndarray], rounds: int, tolerance: float, bound: float = math.inf) -> np.ndarray:
+    """A scale of each cell, bound at most: values[d] numbers the cells' values of dimension d, wanted[d] has their tokens."""
+    scale, total = np.ones(len(mass)), max(w.sum() for w in wanted) or 1.0
     for _ in range(rounds):
         worst = 0.0
-        for codes, shares in zip(values, wanted, strict=True):
-            now = np.bincount(codes, out, len(shares))
-            worst = max(worst, np.abs(now - shares).max())
-            out = out * np.divide(shares, now, out=np.zeros_like(now), where=now > 0)[codes]
+        for codes, tokens in zip(values, wanted, strict=True):
+            now = np.bincount(codes, mass * np.minimum(bound, scale), len(tokens))
+            worst = max(worst, np.abs(now - tokens).max() / total)
+            scale = np.minimum(MOST, scale * np.divide(tokens, now, out=np.zeros(len(now)), where=now > 0)[codes])
         if worst < tolerance:
             break
-    return out / out.sum()
-
-
-def factor(mass: np.ndarray, scale: np.ndarray, budget: float) -> float:
-    """c for which the masses times min(1, c * scale) add up to budget, or to all that have a scale."""
-    reachable = mass[scale > 0].sum()
-    if budget >= reachable:
-        return float(1 / scale[scale > 0].min()) if reachable else 0.0
-    order = np.argsort(-scale)
-    m, s = mass[order], scale[order]
-    full = np.concatenate(([0.0], np.cumsum(m)))[:-1]  # mass of the cells before, all of it taken
-    open_ = np.cumsum((m * s)[::-1])[::-1]
-    c = np.divide(budget - full, open_, out=np.full(len(m), np.inf), where=open_ > 0)
-    fits = np.nonzero((s > 0) & (np.where(s > 0, c, 0) * s <= 1 + 1e-12))[0]
-    return float(c[fits[0]])
+    return np.minimum(bound, scale)
 
 
-def weights(docs: DataFrame, targets: dict[str, Target], share: float, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
-    """(dimensions, weight) for each cell of docs, which has the dimensions and n_tokens as columns."""
+def weights(docs: DataFrame, targets: dict[str, Target], share: float, rounds: int = 1000, tolerance: float = 1e-9) -> DataFrame:
+    """(dimensions, weight, probability) for each cell of docs, which has the dimensions and n_tokens as columns."""
     spark = docs.sparkSession
     dims = list(targets)
     cells = materialize(docs.groupBy(*dims).agg(F.sum("n_tokens").cast("double").alias("mass")), "cells")
@@ -97,61 +110,101 @@ def weights(docs: DataFrame, targets: dict[str, Target], share: float, rounds: i
         return _distributed(cells, targets, share, rounds, tolerance)
     rows = sorted((tuple(r) for r in cells.collect()), key=repr)
     mass = np.array([r[-1] for r in rows], float)
-    schema = cells.select(*dims).schema.add("weight", "double")
+    schema = cells.select(*dims).schema.add("weight", "double").add("probability", "double")
     if not len(rows) or not mass.sum():
-        return spark.createDataFrame([(*r[:-1], 0.0) for r in rows], schema)
-    values, wanted = [], []
+        return spark.createDataFrame([(*r[:-1], 0.0, 0.0) for r in rows], schema)
+    values, free, bounded, budget = [], [], [], share * mass.sum()
     for d, name in enumerate(dims):
         number: dict = {}
         values.append(np.array([number.setdefault(r[d], len(number)) for r in rows]))
-        shares = targets[name].of(dict(zip(number, np.bincount(values[-1], mass).tolist(), strict=True)))
-        wanted.append(np.array([shares[v] for v in number]))
-    fitted = rake(values, mass, wanted, rounds, tolerance)
-    scale = np.divide(fitted * mass.sum(), mass, out=np.zeros_like(mass), where=mass > 0)
-    scale *= factor(mass, scale, share * mass.sum())
-    return F.broadcast(spark.createDataFrame([(*r[:-1], float(w)) for r, w in zip(rows, scale, strict=True)], schema))
+        masses = dict(zip(number, np.bincount(values[-1], mass).tolist(), strict=True))
+        shares = targets[name].of(masses)
+        most = reachable(shares, masses, budget)
+        free.append(np.array([shares[v] * budget for v in number]))
+        bounded.append(np.array([most[v] for v in number]))
+    weight = rake(values, mass, free, rounds, tolerance)
+    probability = weight if weight.max() <= 1 else rake(values, mass, bounded, rounds, tolerance, 1.0)
+    return F.broadcast(spark.createDataFrame([(*r[:-1], float(w), float(p)) for r, w, p in zip(rows, weight, probability, strict=True)], schema))
 
 
 def _distributed(cells: DataFrame, targets: dict[str, Target], share: float, rounds: int, tolerance: float) -> DataFrame:
-    """weights() by joins of the cells with their marginals."""
+    """weights() by joins of the cells with their marginals. A dimension's marginal may travel to the driver if it has LOCAL_CELLS values at most."""
     dims = list(targets)
-    total = cells.agg(F.sum("mass")).first()[0]
-    wanted = {}
+    budget = share * (cells.agg(F.sum("mass")).first()[0] or 0.0)
+    spark = cells.sparkSession
+    tables: dict[str, tuple] = {}
     for d in dims:
-        marginal = cells.groupBy(d).agg(F.sum("mass").alias("m"))
-        named = {v: s for v, s in targets[d].shares.items()}
-        there = marginal.where(F.col(d).isin([v for v in named if v is not None]) & (F.col("m") > 0)).select(d).collect()
-        named = {r[0]: named[r[0]] for r in there}
-        own = F.lit(None).cast("double")
-        for v, s in named.items():
-            own = F.when(F.col(d).eqNullSafe(F.lit(v)), F.lit(float(s))).otherwise(own)
-        rest = marginal.withColumn("own", own).withColumn("power", F.when(F.col("own").isNull() & (F.col("m") > 0), F.pow("m", F.lit(targets[d].temper))).otherwise(0.0))
-        powers = rest.agg(F.sum("power")).first()[0]
-        left = max(0.0, 1 - sum(named.values())) if powers else 0.0
-        every = sum(named.values()) + left
-        wanted[d] = materialize(rest.select(F.col(d).alias("value"), ((F.coalesce("own", F.lit(0.0)) + (F.col("power") * left / powers if powers else F.lit(0.0))) / (every or 1.0)).alias("wanted")), "wanted")
-    now = cells.withColumn("fitted", F.col("mass") / total)
+        marginal = materialize(cells.groupBy(d).agg(F.sum("mass").alias("m")), "marginal")
+        if marginal.count() <= LOCAL_CELLS:
+            masses = dict(map(tuple, marginal.collect()))
+            shares = targets[d].of(masses)
+            most = reachable(shares, masses, budget)
+            schema = marginal.select(F.col(d).alias("value")).schema.add("free", "double").add("bounded", "double")
+            tables[d] = spark.createDataFrame([(v, shares[v] * budget, most[v]) for v in masses], schema)
+        else:
+            tables[d] = _wanted(marginal, d, targets[d], budget)
+    start = cells.withColumn("scale", F.lit(1.0))
+    weight = _raked(start, tables, "free", None, budget, rounds, tolerance)
+    if (weight.agg(F.max("scale")).first()[0] or 0.0) <= 1:
+        return weight.select(*dims, F.col("scale").alias("weight"), F.col("scale").alias("probability"))
+    bounded = _raked(start, tables, "bounded", 1.0, budget, rounds, tolerance)
+    joined = weight.alias("w").join(bounded.alias("b"), reduce(Column.__and__, [F.col(f"w.{d}").eqNullSafe(F.col(f"b.{d}")) for d in dims]))
+    return joined.select(*[F.col(f"w.{d}").alias(d) for d in dims], F.col("w.scale").alias("weight"), F.least(F.lit(1.0), "b.scale").alias("probability"))
+
+
+def _wanted(marginal: DataFrame, d: str, target: Target, budget: float) -> DataFrame:
+    """(value, free, bounded) of a dimension with more values than the driver is sent: reachable() by aggregates."""
+    there = {r[0]: r[1] for r in marginal.where(F.col(d).isin([v for v in target.shares if v is not None]) | F.col(d).isNull()).collect() if r[0] in target.shares}
+    named = {v: target.shares[v] for v, m in there.items() if m}
+    own = F.lit(None).cast("double")
+    for v, s in named.items():
+        own = F.when(F.col(d).eqNullSafe(F.lit(v)), F.lit(float(s))).otherwise(own)
+    rest = marginal.withColumn("own", own).withColumn("power", F.when(F.col("own").isNull() & (F.col("m") > 0), F.pow("m", F.lit(target.temper))).otherwise(0.0))
+    powers = rest.agg(F.sum("power")).first()[0] or 0.0
+    left = max(0.0, 1 - sum(named.values())) if powers else 0.0
+    every = sum(named.values()) + left or 1.0
+    shares = materialize(rest.select(F.col(d).alias("value"), "m", ((F.coalesce("own", F.lit(0.0)) + (F.col("power") * (left / powers) if powers else F.lit(0.0))) / every).alias("share"), F.lit(False).alias("over")), "shares")
+    left = min(budget, shares.where("share > 0").agg(F.sum("m")).first()[0] or 0.0)
+    while True:  # each time at least one value more is taken whole
+        total, taken = shares.agg(F.sum(F.when(~F.col("over"), F.col("share"))), F.sum(F.when(F.col("over"), F.col("m")))).first()
+        each = (left - (taken or 0.0)) / total if total else 0.0
+        now = shares.withColumn("over", F.col("over") | ((F.col("share") > 0) & (F.col("share") * each >= F.col("m"))))
+        if not now.where("over").count() > shares.where("over").count():
+            return materialize(shares.select("value", (F.col("share") * budget).alias("free"), F.when(F.col("over"), F.col("m")).otherwise(F.col("share") * each).alias("bounded")), "wanted")
+        shares = materialize(now, "shares")
+
+
+def _raked(now: DataFrame, tables: dict[str, DataFrame], wanted: str, bound: float | None, budget: float, rounds: int, tolerance: float) -> DataFrame:
+    """rake() of (dimensions, mass, scale)."""
+    dims, before = list(tables), None
+    scale = F.col("scale") if bound is None else F.least(F.lit(bound), F.col("scale"))
     for _ in range(rounds):
+        worst = F.lit(0.0)
         for d in dims:
-            marginal = now.groupBy(d).agg(F.sum("fitted").alias("now")).withColumnRenamed(d, "value").join(wanted[d].withColumnRenamed("value", "value2"), F.col("value").eqNullSafe(F.col("value2"))).drop("value2")
-            scaled = now.join(marginal, now[d].eqNullSafe(marginal["value"]))
-            now = scaled.select(*dims, "mass", F.when(F.col("now") > 0, F.col("fitted") * F.col("wanted") / F.col("now")).otherwise(0.0).alias("fitted"), F.abs(F.col("now") - F.col("wanted")).alias(f"off_{d}"))
-        now = materialize(now.select(*dims, "mass", "fitted", f"off_{dims[-1]}"), "raked")
-        worst = now.agg(F.max(f"off_{dims[-1]}")).first()[0]
-        now = now.select(*dims, "mass", "fitted")
-        if worst < tolerance:
+            given = tables[d].select(F.col("value").alias("value2"), F.col(wanted).alias("tokens"))
+            marginal = now.groupBy(F.col(d).alias("value")).agg(F.sum(F.col("mass") * scale).alias("now")).join(given, F.col("value").eqNullSafe(F.col("value2"))).drop("value2")
+            joined = now.join(marginal, now[d].eqNullSafe(marginal["value"]))
+            off = [c for c in now.columns if c.startswith("off_")]
+            changed = F.when(F.col("now") > 0, F.least(F.lit(MOST), F.col("scale") * F.col("tokens") / F.col("now"))).otherwise(0.0)
+            now = joined.select(*dims, "mass", changed.alias("scale"), *off, F.abs(F.col("now") - F.col("tokens")).alias(f"off_{d}"))
+        now = materialize(now, "raked")
+        worst = now.agg(F.max(F.greatest(*[F.col(f"off_{d}") for d in dims]) if len(dims) > 1 else F.max(f"off_{dims[0]}"))).first()[0]
+        now = now.select(*dims, "mass", "scale")
+        if before is not None:
+            remove(before)
+        before = now
+        if (worst or 0.0) < tolerance * (budget or 1.0):
             break
-    sums = now.agg(F.sum("fitted")).first()[0] or 1.0
-    scaled = materialize(now.select(*dims, "mass", F.when(F.col("mass") > 0, F.col("fitted") / sums * total / F.col("mass")).otherwise(0.0).alias("scale")), "scales")
-    low, high = 0.0, 1.0
-    taken = lambda c: scaled.agg(F.sum(F.col("mass") * F.least(F.lit(1.0), F.col("scale") * c))).first()[0]
-    reachable = scaled.where("scale > 0").agg(F.sum("mass")).first()[0] or 0.0
-    while taken(high) < min(share * total, reachable * (1 - 1e-12)):
-        low, high = high, 2 * high
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if taken(middle) < share * total else (low, middle)
-    return scaled.select(*dims, (F.col("scale") * high).alias("weight"))
+    return now
+
+
+def marginals(mixed: DataFrame, targets: dict[str, Target]) -> DataFrame:
+    """(dimension, value, tokens, expected, drawn) of what mix() gave: tokens there are, expected by the probabilities, and drawn."""
+    parts = []
+    for name in targets:
+        sums = mixed.groupBy(F.col(f"mix_{name}").cast("string").alias("value")).agg(F.sum("mix_tokens").alias("tokens"), F.sum(F.col("mix_tokens") * F.col("mix_probability")).alias("expected"), F.sum(F.when(F.col("mix_kept"), F.col("mix_tokens")).otherwise(0)).alias("drawn"))
+        parts.append(sums.select(F.lit(name).alias("dimension"), "value", "tokens", "expected", "drawn"))
+    return reduce(DataFrame.union, parts)
 
 
 def uniform(doc_id: Column, seed: int) -> Column:
@@ -177,6 +230,19 @@ def mix(docs: DataFrame, dims: dict[str, Callable | None], targets: dict[str, Ta
     for name in by_inner:
         one = F.col(name).eqNullSafe(F.col(own[name]))
         same = one if same is None else same & one
-    joined = read.join(renamed, same, "left").withColumn("mix_weight", F.coalesce(own["weight"], F.lit(0.0)))
-    joined = joined.withColumn("mix_probability", F.least(F.lit(1.0), "mix_weight")).withColumn("mix_kept", uniform(F.col("doc_id"), seed) < F.col("mix_probability"))
+    joined = read.join(renamed, same, "left").withColumns({"mix_weight": F.coalesce(own["weight"], F.lit(0.0)), "mix_probability": F.coalesce(own["probability"], F.lit(0.0))})
+    joined = joined.withColumn("mix_kept", uniform(F.col("doc_id"), seed) < F.col("mix_probability"))
     return joined.drop(*own.values())
+
+
+#: The mix of the query and the pipeline. Dimensions: a column of that name, or what makes one from the text.
+DIMENSIONS: dict[str, Callable | None] = {"source": None, "lang": None, "topic": topic}
+#: What it is raked to: sources evened out, languages and topics by fixed shares. Both leave 0.04 to values that they
+#: don't name, null included; where none occurs, the named ones divide it in proportion.
+TARGETS = {
+    "source": Target(temper=0.5),
+    "lang": Target({"en": 0.48, "de": 0.192, "fr": 0.192, "es": 0.096}),
+    "topic": Target({"prose": 0.8, "table": 0.08, "legal": 0.08}),
+}
+#: Share of the tokens that the sample keeps.
+SHARE = 0.5

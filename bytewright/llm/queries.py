@@ -47,7 +47,7 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(table(spark, sf_dir, "documents"), corpus_pipeline.MIX_DIMENSIONS, corpus_pipeline.MIX_TARGETS, corpus_pipeline.MIX_SHARE)
+    found = mixing.mix(table(spark, sf_dir, "documents"), mixing.DIMENSIONS, mixing.TARGETS, mixing.SHARE)
     return found.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("weight"), F.col("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"))
 
 
