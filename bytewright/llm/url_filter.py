@@ -4,8 +4,11 @@ Everything runs in Catalyst and in Spark's own FP-growth; there is no Python on
 host's suffixes, the directories of its path, the words of its host labels and the names in its query. FP-growth finds
 token sets that are frequent together with a verdict. Of their rules those with enough confidence, support and lift
 stay, and among them those that no more general rule with the same verdict implies. Rules match by an inverted index
-from token to rules: a rule holds for a URL when all of its tokens were met. The index is a literal in the plan (its
-size depends on the least support, not on the corpus, and is checked), so judging needs no shuffle.
+from token to rules: a rule holds for a URL when all of its tokens were met. A small index is a literal in the plan, so
+judging needs no shuffle; a larger one is a table that URLs meet in a join.
+
+Tokens that occur in the same labelled URLs (the directories of one path, the suffixes of one host) are one item: mining
+all their subsets would take time that grows exponentially with their number and say the same. The shortest stands for them.
 """
 
 from __future__ import annotations
@@ -18,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Tokens in all rules of the index together at most: the size up to which it may be part of the plan.
+#: Tokens in all rules up to which the index may be part of the plan; a larger one is a table that is joined.
 INDEX_TOKENS = 20_000
+#: What decides for a URL that no listed rule fits.
+MATCH = "struct<tokens: string, verdict: string, confidence: double>"
 #: The two verdicts.
 ALLOW, BLOCK = "allow", "block"
 
@@ -76,7 +81,7 @@ def query_of(url: Column) -> Column:
 
 def listed(host: Column, path: Column, given: list[Rule]) -> Column:
     """struct(rule, verdict) of the longest rule that fits (of equally long ones the first as strings), or null."""
-    found = F.lit(None)
+    found = F.lit(None).cast("struct<rule: string, verdict: string>")
     for rule in sorted(given, key=lambda r: (-len(r.text), r.text))[::-1]:
         fits = ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
         found = F.when(fits, F.struct(F.lit(rule.text).alias("rule"), F.lit(rule.verdict).alias("verdict"))).otherwise(found)
@@ -106,7 +111,7 @@ def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9, l
     """
     verdicts = F.concat(F.lit("= "), F.col("verdict"))
     baskets = labelled.where("verdict is not null and size(tokens) > 0").select(F.array_append("tokens", verdicts).alias("items"))
-    baskets = materialize(baskets, "baskets")
+    baskets = materialize(merged(baskets), "baskets")
     n = baskets.count()
     if n < least:
         return []
@@ -117,6 +122,17 @@ def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9, l
     return pruned(every)
 
 
+def merged(baskets: DataFrame) -> DataFrame:
+    """baskets (items) with one item for those that occur in the same rows: the shortest, then the first. Verdicts stay."""
+    rows = materialize(baskets.withColumn("row", F.monotonically_increasing_id()), "rows")
+    pairs = rows.select("row", F.explode("items").alias("item")).where(~F.col("item").startswith("= "))
+    prints = pairs.groupBy("item").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
+    first = prints.groupBy("n", "x", "y").agg(F.min(F.struct(F.length("item").alias("length"), F.col("item"))).alias("first"))
+    kept = pairs.join(first.select(F.col("first.item").alias("item")), "item").groupBy("row").agg(F.collect_list("item").alias("kept"))
+    verdicts = F.filter("items", lambda i: i.startswith("= "))
+    return rows.join(kept, "row").select(F.array_sort(F.concat("kept", verdicts)).alias("items"))
+
+
 def pruned(every: list[Mined]) -> list[Mined]:
     """Without rules that a more general one with the same verdict and no less confidence implies."""
     kept: list[Mined] = []
@@ -132,10 +148,8 @@ def matched(found: Column, mined: list[Mined]) -> Column:
 
     Best: most confident, then most tokens, then as strings.
     """
-    if sum(len(r.tokens) for r in mined) > INDEX_TOKENS:
-        raise ValueError("more rules than the index may hold: raise the least support or confidence")
     if not mined:
-        return F.lit(None)
+        return F.lit(None).cast(MATCH)
     order = sorted(mined, key=lambda r: (-r.confidence, -len(r.tokens), r.tokens, r.verdict))
     index: dict[str, list[int]] = {}
     for i, rule in enumerate(order):
@@ -149,6 +163,18 @@ def matched(found: Column, mined: list[Mined]) -> Column:
     return F.try_element_at(facts, F.array_min(full) + 1)
 
 
+def joined(read: DataFrame, mined: list[Mined]) -> DataFrame:
+    """read (tokens, ...) with the column best, as matched() has it, by a join of the tokens with the index."""
+    spark = read.sparkSession
+    order = sorted(mined, key=lambda r: (-r.confidence, -len(r.tokens), r.tokens, r.verdict))
+    index = spark.createDataFrame([(t, i, len(r.tokens)) for i, r in enumerate(order) for t in r.tokens], "token string, rule int, size int")
+    facts = spark.createDataFrame([(i, " ".join(r.tokens), r.verdict, r.confidence) for i, r in enumerate(order)], "rule int, tokens string, verdict string, confidence double")
+    keyed = materialize(read.withColumn("row", F.monotonically_increasing_id()), "urls")
+    met = keyed.select("row", F.explode("tokens").alias("token")).join(index, "token").groupBy("row", "rule").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    best = met.where("n = size").groupBy("row").agg(F.min("rule").alias("rule")).join(facts, "rule").select("row", F.struct("tokens", "verdict", "confidence").alias("best"))
+    return keyed.join(best, "row", "left").drop("row")
+
+
 def labelled(read: DataFrame, labels: DataFrame) -> DataFrame:
     """(tokens, verdict): the pages that labels has under their id; poor quality or toxicity means block."""
     bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
@@ -168,6 +194,9 @@ def judge(pages: DataFrame, labels: DataFrame, given: list[Rule], support: float
     read = pages.select("page_id", "url").withColumns({"host": host_of(url), "path": path_of(url)})
     read = read.select("page_id", "host", "path", listed(F.col("host"), F.col("path"), given).alias("given"), tokens(url, F.col("host"), F.col("path")).alias("tokens"))
     mined = mine(labelled(read, labels), support, confidence, lift)
-    best = matched(F.col("tokens"), mined)
-    read = read.select("page_id", "host", "path", "given", F.when(F.col("given").isNull(), best).alias("best") if mined else F.lit(None).cast("struct<tokens: string, verdict: string, confidence: double>").alias("best"))
+    if sum(len(r.tokens) for r in mined) > INDEX_TOKENS:
+        read = joined(read, mined)
+    else:
+        read = read.withColumn("best", matched(F.col("tokens"), mined))
+    read = read.select("page_id", "host", "path", "given", F.when(F.col("given").isNull(), F.col("best")).alias("best"))
     return read.select("page_id", "host", "path", F.col("given.rule").alias("rule"), F.coalesce("given.verdict", "best.verdict", F.lit(default)).alias("verdict"), F.col("best.tokens").alias("mined"))
