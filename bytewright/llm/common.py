@@ -83,6 +83,12 @@ def sweep(spark: SparkSession, keep: DataFrame | None = None) -> None:
             _delete(spark, path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of tables that are written: it does when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def give_back() -> None:
     """Return memory that a task has freed to the system: Python workers live on and serve other operators."""
     gc.collect()

@@ -16,6 +16,7 @@ looked up exactly by joins with the tables. The caches' sizes change how much is
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -27,15 +28,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, materialize, remove, slices
+from .common import clean, give_back, materialize, remove, slices
 from .toxicity import crc_mod
 
 #: Words, states and successors in the caches, the most frequent ones.
-WORDS, STATES, SUCCESSORS = 1 << 18, 1 << 18, 1 << 21
-#: Bits of a bit map (a power of two); one travels as 8 MB at most.
-BITS = 1 << 26
+WORDS, STATES, SUCCESSORS = 1 << 19, 1 << 19, 1 << 22
+#: Bits of a bit map (a power of two); one travels as 16 MB at most.
+BITS = 1 << 27
 #: Counted keys that a task holds before it hands them on.
-HELD = 1 << 21
+HELD = 1 << 20
+#: Bytes of text that are turned into symbols together; one text is never divided.
+TOGETHER = 1 << 20
 DISCOUNT = 0.6
 #: Symbols that are no words. NONE stands where a context is shorter.
 NONE, START, END = 0, 1, 2
@@ -94,12 +97,12 @@ def contexts(s: np.ndarray, depth: int) -> tuple[list[np.ndarray], list[np.ndarr
 
 @dataclass
 class Cache:
-    """What tasks look up by themselves: sorted keys with values, and bit maps of all keys."""
+    """What tasks look up by themselves: keys with values, of which a task makes a Table, and bit maps of all keys."""
 
-    words: tuple[np.ndarray, np.ndarray]
+    words: tuple[np.ndarray, np.ndarray] | Table
     all_words: bool  # whether these are all words
-    states: tuple[np.ndarray, np.ndarray] | None = None
-    successors: tuple[np.ndarray, np.ndarray] | None = None
+    states: tuple[np.ndarray, np.ndarray] | Table | None = None
+    successors: tuple[np.ndarray, np.ndarray] | Table | None = None
     state_bits: np.ndarray | None = None
     successor_bits: np.ndarray | None = None
 
@@ -126,15 +129,31 @@ class Model:
         return self.total + 0.5 * (self.distinct + 1)
 
 
-def find(table: tuple[np.ndarray, np.ndarray], wanted: np.ndarray, missing: float) -> tuple[np.ndarray, np.ndarray]:
-    """The values of wanted keys in a sorted table, and whether it has them."""
-    keys, values = table
-    if not len(keys):
-        return np.full(len(wanted), missing), np.zeros(len(wanted), bool)
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    hit = keys[at] == wanted
-    return np.where(hit, values[at], missing), hit
+class Table:
+    """Values by key. Keys are dealt to ranges by their first bits, so that a look-up reads few places of memory."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        keys = keys.view(np.uint64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.values = keys[order], values[order]
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, wanted: np.ndarray, missing: float) -> tuple[np.ndarray, np.ndarray]:
+        """The values of wanted keys, and whether there are any."""
+        wanted = wanted.view(np.uint64)
+        out, hit = np.full(len(wanted), missing, self.values.dtype), np.zeros(len(wanted), bool)
+        ranges = (wanted >> self.shift).astype(np.int64)
+        at, end = self.first[ranges], self.first[ranges + 1]
+        left = np.nonzero(at < end)[0]
+        at, end = at[left], end[left]
+        while len(left):
+            same = self.keys[at] == wanted[left]
+            out[left[same]], hit[left[same]] = self.values[at[same]], True
+            more = ~same & (at + 1 < end)
+            left, at, end = left[more], at[more] + 1, end[more]
+        return out, hit
 
 
 def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -157,15 +176,23 @@ def bit_map(keys: list[DataFrame]) -> np.ndarray:
     return out
 
 
-def most_frequent(tables: list[DataFrame], value: str, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """key and value of the rows with the largest n (ties by key), sorted by key; tables: key, n, value."""
-    if not tables:
-        return np.zeros(0, np.int64), np.zeros(0)
-    rows = reduce(DataFrame.union, [t.select("key", "n", value) for t in tables])
-    got = rows.orderBy(F.desc("n"), "key").limit(most).select("key", value).toArrow()
-    keys, values = got.column(0).to_numpy().astype(np.int64), got.column(1).to_numpy()
-    order = np.argsort(keys, kind="stable")
-    return keys[order], values[order]
+def most_frequent(tables: list[DataFrame], value: str, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """key and value of the rows with the largest n, most of them at most, and an n from which all are in.
+
+    tables: key, n, value. Rows are in or out by eighths of powers of two of n.
+    """
+    rows = reduce(DataFrame.union, [t.select("key", "n", value) for t in tables]) if tables else None
+    bins = F.floor(F.log2("n") * 8)
+    left, low = most, None
+    for at, n in sorted(map(tuple, rows.groupBy(bins.alias("at")).count().collect()), reverse=True) if tables else ():
+        left -= n
+        if left < 0:
+            break
+        low = at
+    if low is None:
+        return np.zeros(0, np.int64), np.zeros(0), 1 << 62
+    got = rows.where(bins >= low).select("key", value).toArrow()
+    return got.column(0).to_numpy().astype(np.int64), got.column(1).to_numpy(), math.ceil(2 ** ((low + 1) / 8))
 
 
 def symbols_of(d: int) -> list[str]:
@@ -193,7 +220,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["h", "n"])
 
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, TOGETHER):
                 s, _ = symbols(part.column(0).to_pylist())
                 held.append(s[s != START])
                 if sum(map(len, held)) > HELD:
@@ -221,20 +248,24 @@ def count_successors(texts: DataFrame, low: int, high: int, may: object) -> Data
                 own = [x for depth, *x in held if depth == d]
                 if not own:
                     continue
-                key, c, *before = (np.concatenate(x) for x in zip(*own, strict=True))
-                _, first, n = np.unique(hashed(c, key), return_index=True, return_counts=True)
+                held[:] = [x for x in held if x[0] != d]
+                c, *before = (np.concatenate(x) for x in zip(*own, strict=True))
+                del own
+                key = np.full(len(c), 42, np.int64)
+                for symbol in [*before, c]:
+                    key = hashed(symbol, key)
+                _, first, n = np.unique(key, return_index=True, return_counts=True)
                 none = np.zeros(len(first), np.int64)
                 columns = [b[first] for b in before] + [none] * (high - d)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), d, np.int32)), *map(pa.array, columns), pa.array(c[first]), pa.array(n.astype(np.int64))], ["d", *names, "c", "n"])
-            held.clear()
 
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, TOGETHER):
                 s, _ = symbols(part.column(0).to_pylist())
                 earlier, keys, there = contexts(s, high)
                 for d, mask in lets(earlier, keys, there):
                     at = np.nonzero(mask)[0]
-                    held.append((d, keys[d - 1][at], s[at], *(e[at] for e in earlier[:d])))
+                    held.append((d, s[at], *(e[at] for e in earlier[:d])))
                     size += len(at)
                 if size > HELD:
                     yield from handed()
@@ -243,14 +274,16 @@ def count_successors(texts: DataFrame, low: int, high: int, may: object) -> Data
         give_back()
 
     schema = ", ".join(["d int", *(f"{w} long" for w in names), "c long", "n long"])
-    return texts.mapInArrow(run, schema).groupBy("d", *names, "c").agg(F.sum("n").alias("n"))
+    # tasks have counted what they have, so another aggregate before the shuffle would find little to add up
+    keys = ["d", *names, "c"] if high > low else [*names, "c"]
+    return texts.mapInArrow(run, schema).select(*keys, "n").repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, depth: int = 3, context_least: int = 8, pair_least: int = 3, gain: float = 3.0) -> Model:
+def fit(docs: DataFrame, depth: int = 3, context_least: int = 8, deeper_least: int = 32, pair_least: int = 6, gain: float = 3.0) -> Model:
     """Learn a tree.
 
-    context_least, pair_least: how often a context, or a context with its successor, must occur in the training texts
-    to be in the model, whatever their size. gain: nats of likelihood that a context must win over its suffix for each
+    context_least, deeper_least, pair_least: how often a context of one symbol, one of more, or a context with its
+    successor, must occur in the training texts to be in the model, whatever their size. gain: nats of likelihood that a context must win over its suffix for each
     successor that it stores. Null and empty texts are an end alone; without training texts the base is all there is.
     """
     spark = docs.sparkSession
@@ -258,22 +291,23 @@ def fit(docs: DataFrame, depth: int = 3, context_least: int = 8, pair_least: int
     words = materialize(count_words(texts), "words")
     sums = words.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("h") == END, F.col("n")))).first()
     total, distinct, ends = sums[0] or 0, sums[1], sums[2] or 0
-    top = most_frequent([words.select(F.col("h").alias("key"), "n")], "n", WORDS)
+    *top, least = most_frequent([words.select(F.col("h").alias("key"), "n")], "n", WORDS)
     model = Model(total, distinct, ends, words)
-    cache = Cache(top, distinct <= WORDS)
-    send = spark.sparkContext.broadcast(top)
-    sure = cache.all_words or (len(top[1]) and top[1].min() < context_least)  # the other words are not frequent
+    cache = Cache(tuple(top), len(top[0]) == distinct)
+    send = spark.sparkContext.broadcast(tuple(top))
+    sure = least <= context_least  # words that are not in the cache are not frequent
 
     def first():
-        keys, n = send.value
+        known = Table(*send.value)
 
         def lets(earlier, hashes, there):
-            times, known = find((keys, n), earlier[0], context_least if not sure else 0)
+            times, _ = known.find(earlier[0], 0 if sure else context_least)
             yield 1, there[0] & ((times >= context_least) | (earlier[0] == START))
 
         return lets
 
     pairs = materialize(count_successors(texts, 1, 1, first).where(F.col("n") >= pair_least), "successors")
+    clean(spark)
     base_total = model.base_total
     base = words.select(F.col("h").alias("c"), F.log10((F.col("n") + 0.5) / base_total).alias("base"))
     totals = words.where(F.col("n") >= context_least).select(F.col("h").alias("w1"), F.col("n").alias("total"))
@@ -282,7 +316,7 @@ def fit(docs: DataFrame, depth: int = 3, context_least: int = 8, pair_least: int
     _grow(model, level, 1, gain)
     if depth > 1:
         # contexts that may be frequent: all their pairs are
-        often = bit_map([pairs.where((F.col("n") >= context_least) & (F.col("c") != END)).select(key_of(["c", "w1"]))])
+        often = bit_map([pairs.where((F.col("n") >= deeper_least) & (F.col("c") != END)).select(key_of(["c", "w1"]))])
         bits = spark.sparkContext.broadcast(often)
 
         def deeper():
@@ -300,18 +334,19 @@ def fit(docs: DataFrame, depth: int = 3, context_least: int = 8, pair_least: int
             return lets
 
         counted = materialize(count_successors(texts, 2, depth, deeper).where(F.col("n") >= pair_least), "successors")
+        clean(spark)
         before = pairs
         for d in range(2, depth + 1):
             own = symbols_of(d)
             # a context's count: how often its last symbol stands behind the others
             renamed = before.select(F.col("c").alias("w1"), *(F.col(w).alias(f"w{i}") for i, w in enumerate(symbols_of(d - 1), 2)), F.col("n").alias("total"))
             lower = model.successors[-1].select(*symbols_of(d - 1), "c", F.col("full").alias("lower"), (F.col("full") - F.col("gain")).alias("base"))
-            here = counted.where(F.col("d") == d).select(*own, "c", "n")
-            level = here.join(renamed.where(F.col("total") >= context_least), own).join(lower, [*symbols_of(d - 1), "c"])
+            here = (counted.where(F.col("d") == d) if depth > 2 else counted).select(*own, "c", "n")
+            level = here.join(renamed.where(F.col("total") >= deeper_least), own).join(lower, [*symbols_of(d - 1), "c"])
             _grow(model, level, d, gain)
             before = here
-    cache.states = most_frequent([t.select(key_of(symbols_of(d)), "n", "left") for d, t in enumerate(model.states, 1)], "left", STATES)
-    cache.successors = most_frequent([t.select(key_of([*symbols_of(d), "c"]), "n", "gain") for d, t in enumerate(model.successors, 1)], "gain", SUCCESSORS)
+    *cache.states, _ = most_frequent([t.select(key_of(symbols_of(d)), "n", "left") for d, t in enumerate(model.states, 1)], "left", STATES)
+    *cache.successors, _ = most_frequent([t.select(key_of([*symbols_of(d), "c"]), "n", "gain") for d, t in enumerate(model.successors, 1)], "gain", SUCCESSORS)
     cache.state_bits = bit_map([t.select(key_of(symbols_of(d))) for d, t in enumerate(model.states, 1)])
     cache.successor_bits = bit_map([t.select(key_of([*symbols_of(d), "c"])) for d, t in enumerate(model.successors, 1)])
     model.cache = cache
@@ -332,8 +367,9 @@ def _grow(model: Model, level: DataFrame, d: int, gain: float) -> None:
     states = materialize(weighed.where(F.col("won") >= gain * F.col("stored")).select(*own, F.col("n"), F.log10("rest").alias("left")), "states")
     joined = level.join(states.select(*own, F.pow(F.lit(10.0), "left").alias("left")), own).withColumn("full", full)
     model.states.append(states)
-    model.successors.append(materialize(joined.select(*own, "c", "n", "full", (F.col("full") - F.col("base")).alias("gain")), "successors"))
+    model.successors.append(materialize(joined.select(*own, "c", "n", "full", (F.col("full") - F.col("base")).cast("float").alias("gain")), "successors"))
     remove(level)
+    clean(level.sparkSession)
 
 
 def walk(s: np.ndarray, cache: Cache, depth: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -352,11 +388,11 @@ def walk(s: np.ndarray, cache: Cache, depth: int) -> tuple[np.ndarray, np.ndarra
     for d in range(depth, 0, -1):
         at = np.nonzero(open_ & may[d - 1])[0]
         grams = hashed(s[at], keys[d - 1][at])
-        added, hit = find(cache.successors, grams, 0.0)
+        added, hit = cache.successors.find(grams, 0.0)
         out[at[hit]] += added[hit]
         open_[at[hit]] = False
         at, grams = at[~hit], grams[~hit]
-        left, known = find(cache.states, keys[d - 1][at], 0.0)
+        left, known = cache.states.find(keys[d - 1][at], 0.0)
         known &= ~marked(cache.successor_bits, grams)  # surely not stored
         out[at[known]] += left[known]
         ask[at[~known]] = d
@@ -378,6 +414,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Cache(**send.value)
+        cache.words, cache.states, cache.successors = (Table(*x) for x in (cache.words, cache.states, cache.successors))
         z = np.log10(base_total)
 
         def made(m: int, **own) -> pa.RecordBatch:
@@ -385,12 +422,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(own[c], kinds.get(c, pa.int64())) if c in own else pa.nulls(m, kinds.get(c, pa.int64())) for c in columns], columns)
 
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 2, TOGETHER):
                 ids, numbers = part.column(0).to_pylist(), part.column(1).to_numpy()
                 s, starts = symbols(part.column(2).to_pylist())
                 lengths = np.diff(np.concatenate((starts, [len(s)])))
                 owner = np.repeat(np.arange(len(starts)), lengths)
-                counts, hit = find(cache.words, s, 0)
+                counts, hit = cache.words.find(s, 0)
                 start = s == START
                 asks = ~hit & ~start & (not cache.all_words)
                 base = np.where(start | asks, 0.0, np.log10(counts + 0.5) - z)
@@ -421,7 +458,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         asked = read.where(F.col("d") == d).select("row", *names, "c")
         asked = asked.unionByName(goes_on) if goes_on is not None else asked
         found = asked.join(model.successors[d - 1].select(*own, "c", "gain"), [*own, "c"], "left").join(model.states[d - 1].select(*own, "left"), own, "left")
-        if d > 1:
+        if d > 1:  # few: most look-ups are of pairs
             found = materialize(found.select("row", *names, "c", "gain", "left"), "found")
             goes_on = found.where("gain is null").select("row", *names, "c")
         parts.append(_part(found.groupBy("row").agg(F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), F.sum(F.coalesce("gain", "left", F.lit(0.0))).alias("added"))))

@@ -168,6 +168,18 @@ class TestEmbeddings:
         assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
         assert [(r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()] == [(2, 1)] * 3
 
+    @pytest.mark.parametrize("numbers", [0, 4 << 20])
+    def test_labels_of_any_kind_and_large_dimensions(self, spark, monkeypatch, numbers):
+        monkeypatch.setattr(embedding_dedup, "BASIS_NUMBERS", numbers)
+        draw = np.random.default_rng(2)
+        base = draw.normal(size=(3, 3072 if not numbers else 7))
+        rows = [(i, (base[i % 3] + 0.05 * draw.normal(size=base.shape[1])).tolist(), ["a b", "a", "1 2"][i % 2]) for i in range(24)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect()}
+        assert got == self.brute(rows, 0.93)
+        halves = spark.createDataFrame([(1, [1.0, 2.0], 1.2), (2, [1.0, 2.0], 1.7), (3, [1.0, 2.0], 1.2), (4, [1.0, 2.0], 0.0), (5, [1.0, 2.0], -0.0)], "vec_id long, embedding array<double>, label double")
+        assert sorted((r.vec_id, r.component_id) for r in embedding_dedup.near_duplicates(halves).collect()) == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 4)]
+
     def test_tiles_against_all_products(self):
         draw = np.random.default_rng(1)
         a, b = (draw.normal(size=(700, 5)) for _ in range(2))
@@ -206,13 +218,43 @@ class TestMixing:
         monkeypatch.setattr(mixing, "LOCAL_CELLS", 3)
         spread = {r.doc_id: (r.mix_weight, r.mix_kept) for r in mixing.mix(df, self.DIMS, self.TARGETS, share=0.3).collect()}
         assert local.keys() == spread.keys()
-        assert all(local[i][0] == pytest.approx(spread[i][0], rel=1e-5) for i in local)
-
-    def test_share_of_everything(self):
-        mass, scale = np.array([4.0, 6.0, 0.0]), np.array([2.0, 0.5, 0.0])
-        for budget in (1.0, 5.0, 9.0, 10.0, 11.0):
-            c = mixing.factor(mass, scale, budget)
-            assert (mass * np.minimum(1, c * scale)).sum() == pytest.approx(min(budget, 10.0))
+        assert all(local[i][0] == pytest.approx(spread[i][0], rel=1e-6) for i in local)
+        assert [local[i][1] for i in local] == [spread[i][1] for i in local]
+
+    def test_probabilities_have_the_marginals(self, spark):
+        # shares that weights beyond 1 would be needed for, were probabilities only cut
+        draw = random.Random(6)
+        rows = [(i, " ".join(["w"] * draw.randint(1, 60)) + draw.choice(["", "", "", " | x"]), draw.choice(["en"] * 8 + ["de"]), f"s{i % 3}", 1) for i in range(900)]
+        targets = {"lang": mixing.Target({"en": 0.8, "de": 0.2}), "topic": mixing.Target({"prose": 0.6, "table": 0.4})}
+        found = mixing.mix(spark.createDataFrame(rows, DOCS), {"lang": None, "topic": mixing.topic}, targets, share=0.5)
+        got = {(r.dimension, r.value): r for r in mixing.marginals(found, targets).collect()}
+        total = sum(r.tokens for (d, _), r in got.items() if d == "lang")
+        assert found.where("mix_weight > 1").count() > 0
+        for d, target in targets.items():
+            masses = {v: r.tokens for (x, v), r in got.items() if x == d}
+            wanted = mixing.reachable(target.of(masses), masses, 0.5 * total)
+            assert sum(wanted.values()) == pytest.approx(0.5 * total)
+            for v, tokens in wanted.items():
+                assert got[d, v].expected == pytest.approx(tokens, abs=1e-6 * total)
+
+    def test_raking_against_brute_force(self):
+        # two by two cells: the scale is a product of row and column factors, cut at the bound
+        draw = random.Random(3)
+        for _ in range(20):
+            mass = np.array([draw.uniform(1, 9) for _ in range(4)])
+            truth = np.outer([draw.uniform(0.1, 1.2), draw.uniform(0.1, 1.2)], [1, draw.uniform(0.1, 1.2)]).ravel()
+            p = np.minimum(1, truth)
+            values = [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])]
+            wanted = [np.bincount(v, mass * p) for v in values]
+            got = mixing.rake(values, mass, wanted, 20_000, 1e-12, 1.0)
+            for v, w in zip(values, wanted, strict=True):
+                assert np.bincount(v, mass * got) == pytest.approx(w, rel=1e-6)
+            assert got == pytest.approx(p, rel=1e-3)
+
+    def test_what_can_be_reached(self):
+        assert mixing.reachable({"a": 0.5, "b": 0.5}, {"a": 10, "b": 90}, 50) == {"a": 10, "b": 40}
+        assert mixing.reachable({"a": 0.5, "b": 0.5}, {"a": 10, "b": 20}, 50) == {"a": 10, "b": 20}
+        assert mixing.reachable({"a": 1.0, "b": 0.0}, {"a": 10, "b": 20}, 5) == {"a": 5, "b": 0}
 
     def test_odd_texts_and_empty_tables(self, spark):
         df = docs(spark, ODD, {"cell_weight": F.lit(1)})
@@ -227,13 +269,13 @@ class TestMixing:
     def test_unnamed_and_null_languages_have_a_share(self, spark):
         df = docs(spark, [f"some words {i}" for i in range(60)])
         df = df.withColumn("lang", F.element_at(F.array(*map(F.lit, ["en", "de", "fr", "es", "it", None])), (F.col("doc_id") % 6 + 1).cast("int")))
-        rows = mixing.mix(df, corpus_pipeline.MIX_DIMENSIONS, corpus_pipeline.MIX_TARGETS, corpus_pipeline.MIX_SHARE).collect()
+        rows = mixing.mix(df, mixing.DIMENSIONS, mixing.TARGETS, mixing.SHARE).collect()
         mass = {}
         for r in rows:
             mass[r.lang] = mass.get(r.lang, 0) + r.mix_tokens * r.mix_weight
         assert all(r.mix_probability > 0 for r in rows)
         assert (mass["it"] + mass[None]) / sum(mass.values()) == pytest.approx(0.04, abs=1e-3)
-        assert corpus_pipeline.MIX_TARGETS["lang"].of({"en": 1, "de": 1, "fr": 1, "es": 1}) == pytest.approx({"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1})
+        assert mixing.TARGETS["lang"].of({"en": 1, "de": 1, "fr": 1, "es": 1}) == pytest.approx({"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1})
 
 
 class TestPipeline:

@@ -51,15 +51,19 @@ class TestDecontaminate:
         found = decontaminate.contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), width=4).orderBy("doc_id").collect()
         assert [(r.n_words, r.n_hit, r["items"]) for r in found] == [self.brute(t, items, 4) for t in texts]
 
-    def test_several_automata_give_the_same(self):
-        items = [(i, f"w{i} x{i} y{i} z".encode()) for i in range(50)]
-        words = " ".join(t.decode() for _, t in items).encode().split()
-        one = decontaminate.scan(words, list(decontaminate.automata(items, 3)))
-        many = list(decontaminate.automata(items, 3, limit=40))
-        assert len(many) > 10
-        several = decontaminate.scan(words, many)
-        assert (one[0] == several[0]).all()
-        assert one[1] == several[1]
+    @pytest.mark.parametrize("limit", [1, 60])
+    def test_several_automata_give_the_same(self, spark, monkeypatch, limit):
+        draw = random.Random(5)
+        make = lambda n: " ".join(draw.choice("abc") for _ in range(n))
+        items = spark.createDataFrame([(i, make(draw.randint(0, 20))) for i in range(20)], "item_id long, text string")
+        df = docs(spark, [make(draw.randint(0, 50)) for _ in range(40)] + [None, ""])
+        whole = decontaminate.contamination(df, items, 6).orderBy("doc_id").collect()
+        clean = {r.doc_id for r in decontaminate.clean(df, items, 6).collect()}
+        monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", limit)
+        assert len(list(decontaminate.parts_of(items))) > 3
+        assert decontaminate.contamination(df, items, 6).orderBy("doc_id").collect() == whole
+        assert {r.doc_id for r in decontaminate.clean(df, items, 6).collect()} == clean
+        assert 0 < len(clean) < df.count()
 
     def test_spans_are_of_the_original(self, spark):
         text = "Before -- The QUICK, brown fox! after"
@@ -107,6 +111,32 @@ class TestUrls:
         assert all(r.verdict == verdicts.get(r.rule, "allow") for r in found)
         assert url_filter.judge(pages.where("false"), labels, self.RULES).count() == 0
 
+    @pytest.mark.parametrize("limit", [0, 20_000])
+    def test_mined_verdicts_against_brute_force(self, spark, monkeypatch, limit):
+        monkeypatch.setattr(url_filter, "INDEX_TOKENS", limit)
+        draw = random.Random(9)
+        rows = [(i, f"http://{draw.choice('abcd')}.{draw.choice(['x', 'y', 'z'])}.test/{draw.choice('pq')}/{draw.choice('rst')}") for i in range(600)] + [(600, None), (601, rows_url := "http://a.x.test/p/r"), (601, rows_url)]
+        bad = lambda u: "/p/" in u and ".x." in u or "//b." in u
+        pages = spark.createDataFrame(rows, "page_id long, url string")
+        labels = spark.createDataFrame([(i, int(not bad(u)), 0) for i, u in rows[:600]], "doc_id long, quality int, toxic int")
+        read = pages.select("page_id", url_filter.tokens(F.col("url"), url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))).alias("tokens"))
+        mined = url_filter.mine(url_filter.labelled(read, labels))
+        assert mined
+        got = url_filter.judge(pages, labels, []).collect()
+        assert len(got) == len(rows)
+        own = {r.page_id: set(r.tokens) for r in read.collect()}
+        for r in got:
+            fits = [m for m in mined if own[r.page_id] >= set(m.tokens)]
+            best = min(fits, key=lambda m: (-m.confidence, -len(m.tokens), m.tokens, m.verdict), default=None)
+            assert (r.verdict, r.mined, r.rule) == ((best.verdict, " ".join(best.tokens), None) if best else ("allow", None, None))
+
+    def test_tokens_that_always_meet_are_one(self, spark):
+        deep = "/".join(f"d{i}" for i in range(24))
+        rows = [(i, f"http://{'a.b.c.d.bad' if i % 2 else 'w.x.y.z.good'}.test/{deep}/{i % 2}") for i in range(200)]
+        labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+        got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), labels, self.RULES).collect()
+        assert all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in got)
+
     def test_mined_rules_decide_the_rest(self, spark):
         rows = [(i, f"http://{'spam' if i % 3 == 0 else 'fine'}-{i % 7}.shop.test/{'buy' if i % 3 == 0 else 'read'}/{i}") for i in range(300)]
         pages = spark.createDataFrame(rows, "page_id long, url string")
@@ -193,7 +223,7 @@ class TestPersonalData:
     def test_long_runs_take_linear_time(self):
         assert pii.base_spans("a" * 300_000 + " x@y.z")[0] == ("email", 300_001, 300_006)
         assert pii.base_spans("1" * 300_000) == []
-        assert pii.base_spans("1." * 100_000) == [] or True
+        assert len(pii.base_spans("1." * 100_000)) == 25_000 - 1 + 1
         assert pii.find("+1" + " " * 100_000, {})[0] == []
 
     def test_held_out_accuracy_of_the_model(self):
@@ -333,6 +363,18 @@ class TestTokenCounts:
                 assert [p for own, _ in tree.leaves for p in own] == counter.pattern.findall(text)
                 assert tree.total() == len(counter.encoding.encode_ordinary(text))
 
+    def test_a_large_insert_encodes_what_it_brings_alone(self, counter, monkeypatch):
+        tree = token_counts.CountedText("one two three " * 5_000, counter)
+        asked = []
+        monkeypatch.setattr(counter, "counts", lambda pieces, f=counter.counts: asked.append(len(pieces)) or f(pieces))
+        before = tree.encoded
+        tree.edit(700, 700, "four " * 600)
+        assert tree.encoded - before == sum(asked) < 620
+        assert tree.total() == len(counter.encoding.encode_ordinary(tree.text()))
+
+    def test_a_vocabulary_on_any_file_system(self, spark):
+        assert token_counts.read_ranks(spark, f"file://{token_counts.VOCABULARY}") == token_counts.read_ranks(spark)
+
     def test_an_edit_is_local(self, counter):
         tree = token_counts.CountedText("one two three " * 20_000, counter)
         before = tree.encoded
@@ -366,7 +408,7 @@ class TestSuffixTree:
             texts.append(" ".join(out))
         return docs(spark, [*texts, None, "", "unseen words only", "aaa. bbb, 123 é"])
 
-    def brute(self, texts, trains, depth=3, context_least=8, pair_least=3, gain=3.0):
+    def brute(self, texts, trains, depth=3, least=(8, 32, 32), pair_least=6, gain=3.0):
         """(n_known, base, score) of each text by plain dictionaries."""
         tokens = [[*(t or "").lower().split(), None] for t in texts]
         learnt = [t for t, ok in zip(tokens, trains, strict=True) if ok]
@@ -393,7 +435,7 @@ class TestSuffixTree:
         for d in range(1, depth + 1):
             new = {}
             for context in {g[:-1] for g in grams[d]}:
-                if totals[context] < context_least or d > 1 and context[1:] not in states:
+                if totals[context] < least[d - 1] or d > 1 and context[1:] not in states:
                     continue
                 kept = {g[-1]: (n - suffix_tree.DISCOUNT) / totals[context] for g, n in grams[d].items() if g[:-1] == context and n >= pair_least}
                 left = 1 - sum(kept.values())
