@@ -279,7 +279,7 @@ def count_successors(texts: DataFrame, low: int, high: int, may: object) -> Data
     return texts.mapInArrow(run, schema).select(*keys, "n").repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, depth: int = 3, context_least: int = 8, deeper_least: int = 32, pair_least: int = 6, gain: float = 3.0) -> Model:
+def fit(docs: DataFrame, depth: int = 3, context_least: int = 8, deeper_least: int = 8, pair_least: int = 3, gain: float = 3.0) -> Model:
     """Learn a tree.
 
     context_least, deeper_least, pair_least: how often a context of one symbol, one of more, or a context with its
