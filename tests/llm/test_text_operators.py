@@ -425,7 +425,7 @@ class TestSuffixTree:
             texts.append(" ".join(out))
         return docs(spark, [*texts, None, "", "unseen words only", "aaa. bbb, 123 é"])
 
-    def brute(self, texts, trains, depth=3, least=(8, 32, 32), pair_least=6, gain=3.0):
+    def brute(self, texts, trains, depth=3, least=(8, 8, 8), pair_least=3, gain=3.0):
         """(n_known, base, score) of each text by plain dictionaries."""
         tokens = [[*(t or "").lower().split(), None] for t in texts]
         learnt = [t for t, ok in zip(tokens, trains, strict=True) if ok]
