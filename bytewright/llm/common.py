@@ -30,6 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's setting by which a query's shuffle files go when it ends, not when the driver collects its garbage.
+FILES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Folders that materialize() has written, by session; sweep() removes them.
 _written: dict[str, list[str]] = {}
 
@@ -53,7 +56,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FILES_GO, "false")
+    spark.conf.set(FILES_GO, "true")  # nothing reads the write's shuffle files once the table is there
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FILES_GO, before)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
