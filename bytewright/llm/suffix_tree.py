@@ -25,6 +25,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,9 @@ WORDS, STATES, SUCCESSORS = 1 << 19, 1 << 19, 1 << 22
 #: Bits of a bit map (a power of two); one travels as 16 MB at most.
 BITS = 1 << 27
 #: Counted keys that a task holds before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 21
+#: Bits of a frequent word's number, of which a long holds three.
+CODE = 20
 #: Bytes of text that are turned into symbols together; one text is never divided.
 TOGETHER = 1 << 20
 DISCOUNT = 0.6
@@ -232,51 +235,96 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def count_successors(texts: DataFrame, low: int, high: int, may: object) -> DataFrame:
-    """(d, w1.., c, n): symbols c behind contexts of low to high symbols, which may() lets through.
+class Numbers:
+    """Numbers of CODE bits for the most frequent words (by their hashes), which all tasks give alike; 0 is for none."""
 
-    may(): broadcast (function of the symbols before, their context hashes and where there are any, by depth, to masks).
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = np.concatenate((np.array([NONE, START], np.int64), words[: (1 << CODE) - 2]))
+        self.table = Table(self.words[2:], np.arange(2, len(self.words)))
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        found, _ = self.table.find(s, 0)
+        found[s == START] = 1
+        return found
+
+
+def pack(numbers: list[np.ndarray], longs: int) -> list[np.ndarray]:
+    """Numbers of a key, three to a long."""
+    out = [np.zeros(len(numbers[0]), np.int64) for _ in range(longs)]
+    for i, x in enumerate(numbers):
+        out[i // 3] |= x << (CODE * (i % 3))
+    return out
+
+
+def unpack(longs: list[np.ndarray], count: int) -> list[np.ndarray]:
+    return [longs[i // 3] >> (CODE * (i % 3)) & ((1 << CODE) - 1) for i in range(count)]
+
+
+def count_successors(texts: DataFrame, low: int, high: int, may: object, least: int, frequent: Broadcast) -> DataFrame:
+    """(d, w1.., c, n): symbols c behind contexts of low to high symbols, which may() lets through, if least times there.
+
+    may(): function of the symbols before, their context hashes and where there are any, by depth, to masks. frequent:
+    words that have numbers. Keys are dealt out as numbers where all their symbols have one (the last column is NONE
+    then), and else as w1.., c; the same key has the same form everywhere.
     """
-    names = symbols_of(high)
+    names, keys = symbols_of(high), [f"k{i}" for i in range(high + 1)]
+    longs = -(-(high + 1) // 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        lets, size = may(), 0
+        short: list[list[np.ndarray]] = []
+        wide: list[list[np.ndarray]] = []
+        lets, numbers, size = may(), Numbers(frequent.value[0]), 0
 
         def handed() -> Iterator[pa.RecordBatch]:
-            for d in range(low, high + 1):
-                own = [x for depth, *x in held if depth == d]
-                if not own:
+            for held in (short, wide):
+                if not held:
                     continue
-                held[:] = [x for x in held if x[0] != d]
-                c, *before = (np.concatenate(x) for x in zip(*own, strict=True))
-                del own
-                key = np.full(len(c), 42, np.int64)
-                for symbol in [*before, c]:
-                    key = hashed(symbol, key)
+                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+                held.clear()
+                key = columns[0]
+                if len(columns) > 1:
+                    key = reduce(lambda key, x: hashed(x, key), columns, np.full(len(key), 42, np.int64))
                 _, first, n = np.unique(key, return_index=True, return_counts=True)
                 none = np.zeros(len(first), np.int64)
-                columns = [b[first] for b in before] + [none] * (high - d)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), d, np.int32)), *map(pa.array, columns), pa.array(c[first]), pa.array(n.astype(np.int64))], ["d", *names, "c", "n"])
+                columns = [x[first] for x in columns] + [none] * (high + 1 - len(columns))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n.astype(np.int64))], [*keys, "n"])
 
         for batch in batches:
             for part in slices(batch, 0, TOGETHER):
                 s, _ = symbols(part.column(0).to_pylist())
-                earlier, keys, there = contexts(s, high)
-                for d, mask in lets(earlier, keys, there):
+                number = numbers.of(s)
+                for d, mask in lets(*contexts(s, high)):
                     at = np.nonzero(mask)[0]
-                    held.append((d, s[at], *(e[at] for e in earlier[:d])))
+                    own = [number[at - i] for i in range(d + 1)]
+                    fits = np.logical_and.reduce([x > 0 for x in own])
+                    short.append(pack([x[fits] for x in own], longs))
                     size += len(at)
+                    at = at[~fits]
+                    if len(at):
+                        none = np.zeros(len(at), np.int64)
+                        wide.append([*(s[at - i] for i in range(1, d + 1)), *[none] * (high - d), s[at]])
                 if size > HELD:
                     yield from handed()
                     size = 0
         yield from handed()
         give_back()
 
-    schema = ", ".join(["d int", *(f"{w} long" for w in names), "c long", "n long"])
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Numbers(frequent.value[0]).words
+        for batch in batches:
+            *held, n = (x.to_numpy() for x in batch.columns)
+            in_short = held[-1] == NONE
+            own = [words[np.where(in_short, x, 0)] for x in unpack(held[:longs], high + 1)]
+            c = np.where(in_short, own[0], held[-1])
+            before = [np.where(in_short, x, y) for x, y in zip(own[1:], held[:-1], strict=True)]
+            d = np.sum([x != NONE for x in before], axis=0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (d, *before, c)), pa.array(n)], ["d", *names, "c", "n"])
+
+    schema = ", ".join(f"{k} long" for k in [*keys, "n"])
     # tasks have counted what they have, so another aggregate before the shuffle would find little to add up
-    keys = ["d", *names, "c"] if high > low else [*names, "c"]
-    return texts.mapInArrow(run, schema).select(*keys, "n").repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(run, schema).repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    out = counted.mapInArrow(named, ", ".join(["d int", *(f"{w} long" for w in [*names, "c", "n"])]))
+    return out if high > low else out.drop("d")
 
 
 def fit(docs: DataFrame, depth: int = 3, context_least: int = 8, deeper_least: int = 8, pair_least: int = 3, gain: float = 3.0) -> Model:
@@ -306,7 +354,7 @@ def fit(docs: DataFrame, depth: int = 3, context_least: int = 8, deeper_least: i
 
         return lets
 
-    pairs = materialize(count_successors(texts, 1, 1, first).where(F.col("n") >= pair_least), "successors")
+    pairs = materialize(count_successors(texts, 1, 1, first, pair_least, send), "successors")
     clean(spark)
     base_total = model.base_total
     base = words.select(F.col("h").alias("c"), F.log10((F.col("n") + 0.5) / base_total).alias("base"))
@@ -333,7 +381,7 @@ def fit(docs: DataFrame, depth: int = 3, context_least: int = 8, deeper_least: i
 
             return lets
 
-        counted = materialize(count_successors(texts, 2, depth, deeper).where(F.col("n") >= pair_least), "successors")
+        counted = materialize(count_successors(texts, 2, depth, deeper, pair_least, send), "successors")
         clean(spark)
         before = pairs
         for d in range(2, depth + 1):
