@@ -38,6 +38,8 @@ WORDS, STATES, SUCCESSORS = 1 << 19, 1 << 19, 1 << 22
 BITS = 1 << 27
 #: Counted keys that a task holds before it hands them on.
 HELD = 1 << 21
+#: Rows that a task hands on at once, and keys that are hashed together.
+ROWS = 1 << 16
 #: Bits of a frequent word's number, of which a long holds three.
 CODE = 20
 #: Bytes of text that are turned into symbols together; one text is never divided.
@@ -64,6 +66,43 @@ def hashed(value: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
+def key_of_rows(columns: list[np.ndarray]) -> np.ndarray:
+    """Spark's xxhash64 of each row, ROWS at a time; a single column is its own key."""
+    if len(columns) == 1:
+        return columns[0]
+    out = np.empty(len(columns[0]), np.int64)
+    for i in range(0, len(out), ROWS):
+        own = [x[i : i + ROWS] for x in columns]
+        out[i : i + ROWS] = reduce(lambda key, x: hashed(x, key), own, np.full(len(own[0]), 42, np.int64))
+    return out
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where one of each distinct key stands, in the order of keys, and how often the key does."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    at = np.flatnonzero(new)
+    return order[at], np.diff(at, append=len(keys))
+
+
+def handed(held: list[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The distinct rows among held ones (lists of columns) and how often each occurs, in batches of ROWS.
+
+    held is emptied. Missing columns before the count are NONE. Both sides of a worker's pipe have a batch in memory,
+    and a batch of all that a task holds would be 80 MB on each.
+    """
+    columns = [np.concatenate([x.pop(0) for x in held]) for _ in range(len(held[0]))]
+    held.clear()
+    first, n = distinct(key_of_rows(columns))
+    for i in range(0, len(first), ROWS):
+        at = first[i : i + ROWS]
+        none = np.zeros(len(at), np.int64)
+        own = [x[at] for x in columns] + [none] * (len(names) - 1 - len(columns))
+        yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(n[i : i + ROWS])], names)
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
@@ -100,15 +139,23 @@ def contexts(s: np.ndarray, depth: int) -> tuple[list[np.ndarray], list[np.ndarr
 
 @dataclass
 class Cache:
-    """What tasks look up by themselves: keys with values, of which a task makes a Table, and bit maps of all keys."""
+    """What tasks look up by themselves: tables of keys with values, and bit maps of all keys."""
 
-    words: tuple[np.ndarray, np.ndarray] | Table
+    words: Table
     all_words: bool  # whether these are all words
-    states: tuple[np.ndarray, np.ndarray] | Table | None = None
-    successors: tuple[np.ndarray, np.ndarray] | Table | None = None
+    states: Table | None = None
+    successors: Table | None = None
     state_bits: np.ndarray | None = None
     successor_bits: np.ndarray | None = None
 
+    def packed(self) -> dict:
+        """As it travels: tables are laid out on the driver, so that a task copies none."""
+        return {k: vars(x) if isinstance(x, Table) else x for k, x in vars(self).items()}
+
+    @classmethod
+    def opened(cls, packed: dict) -> Cache:
+        return cls(**{k: Table.over(**x) if isinstance(x, dict) else x for k, x in packed.items()})
+
 
 @dataclass
 class Model:
@@ -139,9 +186,17 @@ class Table:
         keys = keys.view(np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.values = keys[order], values[order]
-        bits = max(1, len(keys).bit_length())
+        bits = max(1, len(keys).bit_length() - 1)
         self.shift = np.uint64(64 - bits)
-        self.first = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.first = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((self.keys >> self.shift).view(np.int64), minlength=1 << bits), out=self.first[1:])
+
+    @classmethod
+    def over(cls, **arrays: np.ndarray) -> Table:
+        """The table whose vars() these are, with the same arrays."""
+        table = cls.__new__(cls)
+        vars(table).update(arrays)
+        return table
 
     def find(self, wanted: np.ndarray, missing: float) -> tuple[np.ndarray, np.ndarray]:
         """The values of wanted keys, and whether there are any."""
@@ -215,21 +270,18 @@ def count_words(texts: DataFrame) -> DataFrame:
     """(h, n): how often each word, by its hash, and the end occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def handed() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["h", "n"])
-
+        held: list[list[np.ndarray]] = []
+        size = 0
         for batch in batches:
             for part in slices(batch, 0, TOGETHER):
                 s, _ = symbols(part.column(0).to_pylist())
-                held.append(s[s != START])
-                if sum(map(len, held)) > HELD:
-                    yield handed()
+                held.append([s[s != START]])
+                size += len(held[-1][0])
+                if size > HELD:
+                    yield from handed(held, ["h", "n"])
+                    size = 0
         if held:
-            yield handed()
+            yield from handed(held, ["h", "n"])
         give_back()
 
     return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -275,19 +327,9 @@ def count_successors(texts: DataFrame, low: int, high: int, may: object, least:
         wide: list[list[np.ndarray]] = []
         lets, numbers, size = may(), Numbers(frequent.value[0]), 0
 
-        def handed() -> Iterator[pa.RecordBatch]:
-            for held in (short, wide):
-                if not held:
-                    continue
-                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-                held.clear()
-                key = columns[0]
-                if len(columns) > 1:
-                    key = reduce(lambda key, x: hashed(x, key), columns, np.full(len(key), 42, np.int64))
-                _, first, n = np.unique(key, return_index=True, return_counts=True)
-                none = np.zeros(len(first), np.int64)
-                columns = [x[first] for x in columns] + [none] * (high + 1 - len(columns))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n.astype(np.int64))], [*keys, "n"])
+        def all_handed() -> Iterator[pa.RecordBatch]:
+            for held in filter(None, (short, wide)):
+                yield from handed(held, [*keys, "n"])
 
         for batch in batches:
             for part in slices(batch, 0, TOGETHER):
@@ -304,9 +346,9 @@ def count_successors(texts: DataFrame, low: int, high: int, may: object, least:
                         none = np.zeros(len(at), np.int64)
                         wide.append([*(s[at - i] for i in range(1, d + 1)), *[none] * (high - d), s[at]])
                 if size > HELD:
-                    yield from handed()
+                    yield from all_handed()
                     size = 0
-        yield from handed()
+        yield from all_handed()
         give_back()
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +383,7 @@ def fit(docs: DataFrame, depth: int = 3, context_least: int = 8, deeper_least: i
     total, distinct, ends = sums[0] or 0, sums[1], sums[2] or 0
     *top, least = most_frequent([words.select(F.col("h").alias("key"), "n")], "n", WORDS)
     model = Model(total, distinct, ends, words)
-    cache = Cache(tuple(top), len(top[0]) == distinct)
+    cache = Cache(Table(*top), len(top[0]) == distinct)
     send = spark.sparkContext.broadcast(tuple(top))
     sure = least <= context_least  # words that are not in the cache are not frequent
 
@@ -393,8 +435,11 @@ def fit(docs: DataFrame, depth: int = 3, context_least: int = 8, deeper_least: i
             level = here.join(renamed.where(F.col("total") >= deeper_least), own).join(lower, [*symbols_of(d - 1), "c"])
             _grow(model, level, d, gain)
             before = here
-    *cache.states, _ = most_frequent([t.select(key_of(symbols_of(d)), "n", "left") for d, t in enumerate(model.states, 1)], "left", STATES)
-    *cache.successors, _ = most_frequent([t.select(key_of([*symbols_of(d), "c"]), "n", "gain") for d, t in enumerate(model.successors, 1)], "gain", SUCCESSORS)
+    send.destroy()
+    if depth > 1:
+        bits.destroy()
+    cache.states = Table(*most_frequent([t.select(key_of(symbols_of(d)), "n", "left") for d, t in enumerate(model.states, 1)], "left", STATES)[:2])
+    cache.successors = Table(*most_frequent([t.select(key_of([*symbols_of(d), "c"]), "n", "gain") for d, t in enumerate(model.successors, 1)], "gain", SUCCESSORS)[:2])
     cache.state_bits = bit_map([t.select(key_of(symbols_of(d))) for d, t in enumerate(model.states, 1)])
     cache.successor_bits = bit_map([t.select(key_of([*symbols_of(d), "c"])) for d, t in enumerate(model.successors, 1)])
     model.cache = cache
@@ -454,15 +499,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts are an end alone. Repeated rows and ids are scored row by row. Other columns are not read.
     """
     depth, names = model.depth, symbols_of(max(model.depth, 1))
-    send = docs.sparkSession.sparkContext.broadcast(vars(model.cache))
+    send = docs.sparkSession.sparkContext.broadcast(model.cache.packed())
     base_total = model.base_total
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.col("text").cast("binary").alias("text"))
     columns = ["d", "row", *names, "c", "n", "doc_id", "n_tokens", "base", "added"]
     schema = ", ".join(["d int", "row long", *(f"{w} long" for w in names), "c long", "n long", "doc_id long", "n_tokens long", "base double", "added double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Cache(**send.value)
-        cache.words, cache.states, cache.successors = (Table(*x) for x in (cache.words, cache.states, cache.successors))
+        cache = Cache.opened(send.value)
         z = np.log10(base_total)
 
         def made(m: int, **own) -> pa.RecordBatch:

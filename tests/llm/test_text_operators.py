@@ -528,6 +528,41 @@ class TestSuffixTree:
         null = spark.createDataFrame([(None, "a b")], "doc_id long, text string")
         assert suffix_tree.score(null, suffix_tree.fit(null)).first().n_tokens == 3
 
+    @pytest.mark.parametrize("n", [0, 1, 2, 3, 100_000])
+    def test_a_task_copies_no_table(self, n):
+        import tracemalloc
+
+        import numpy as np
+
+        keys = np.unique(np.random.default_rng(n).integers(-(1 << 63), (1 << 63) - 1, n))
+        table, bits = suffix_tree.Table(keys, np.arange(len(keys))), np.zeros(8, np.uint8)
+        sent = suffix_tree.Cache(table, True, table, table, bits, bits).packed()
+        tracemalloc.start()
+        opened = suffix_tree.Cache.opened(sent)
+        assert tracemalloc.get_traced_memory()[1] < 50_000
+        tracemalloc.stop()
+        found, hit = opened.successors.find(np.concatenate((keys[::-1], [0])), -1)
+        assert found.tolist() == [*range(len(keys))[::-1], -1] and hit.tolist() == [True] * len(keys) + [False]
+
+    def test_counts_are_handed_on_in_small_batches_from_little_memory(self, monkeypatch):
+        import tracemalloc
+
+        import numpy as np
+
+        monkeypatch.setattr(suffix_tree, "ROWS", 1 << 12)
+        rng, n = np.random.default_rng(5), 1 << 17
+        held = [[rng.integers(0, 300, n), rng.integers(-200, 200, n)] for _ in range(4)]
+        want = Counter(zip(*(np.concatenate(x).tolist() for x in zip(*held, strict=True)), strict=True))
+        got, size = {}, sum(x.nbytes for part in held for x in part)
+        tracemalloc.start()
+        for batch in suffix_tree.handed(held, ["a", "b", "none", "n"]):
+            assert batch.num_rows <= 1 << 12
+            got.update({(a, b): k for a, b, none, k in zip(*(x.to_pylist() for x in batch.columns), strict=True) if none == 0})
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got == want and not held
+        assert peak < 5 * size, peak / size
+
     def test_the_tree_grows_with_the_corpus(self, spark):
         # many words that each are a tiny share of the corpus, and each foretells the next
         grown = {}
