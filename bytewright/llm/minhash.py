@@ -11,6 +11,8 @@ compared as one bounded group of work that returns a spanning forest of its link
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -83,12 +85,26 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     nodes: (node, rep, keys). texts: (rep, text), at least for the nodes' reps.
     """
     keyed = materialize(nodes.select("node", F.explode("keys").alias("key")), "bands")
+    members = met(keyed)
+    return crowds(members, sets_of(members.select("node"), nodes, texts))
+
+
+def met(keyed: DataFrame) -> DataFrame:
+    """(key, node, n) of (node, key): the keys of several nodes and how many have them, keys with the same nodes once."""
     met = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("all")).where("n > 1")
     chosen = met.groupBy("n", "least", "all").agg(F.min("key").alias("key")).select("key", "n")
-    members = materialize(keyed.join(chosen, "key"), "members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
-    read = texts.join(wanted, "rep").select("node", "text")
-    sets = materialize(map_texts(read, ["node", "text"], lambda: lambda c: [c[0], [shingles(t).tobytes() for t in c[1]]], "node long, shingles binary"), "shingles")
+    return materialize(keyed.join(chosen, "key"), "members")
+
+
+def sets_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, shingles) for each distinct node of wanted, of which texts has that of its rep."""
+    reps = wanted.distinct().join(nodes.select("node", "rep"), "node")
+    read = texts.join(reps, "rep").select("node", "text")
+    return materialize(map_texts(read, ["node", "text"], lambda: lambda c: [c[0], [shingles(t).tobytes() for t in c[1]]], "node long, shingles binary"), "shingles")
+
+
+def crowds(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) of a spanning forest of the links between nodes that share a key, by pairs of parts."""
     parts = F.ceil(F.col("n") / PART).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
     # a part meets itself and every other part of its key
@@ -104,23 +120,33 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs without near-duplicates, as keep_by() has it, proposed by bands of minhashes."""
+    return keep_by(docs, lambda n: bands, "array<long>", lambda nodes, texts, n: links(nodes, texts))
+
+
+def keep_by(docs: DataFrame, marker: Callable, kind: str, propose: Callable) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row with the smallest doc_id stays.
 
     Of several rows with that id in a component one stays; rows with the same id in distinct components all do. Texts
     without words are copies of each other. Rows whose doc_id is null all stay.
+
+    marker(number of rows): function from a set of shingles to its keys, of the type kind. propose(nodes, texts, number
+    of rows): edges (a, b) between nodes, from (node, rep, keys) and (rep, text).
     """
     row = fresh("row_key", docs)
     keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    n = keyed.count()
+    mark = marker(n)
 
     def step(columns: list[list]) -> list:
         sets = [shingles(t) for t in columns[2]]
-        return [columns[0], columns[1], [node_of(s) for s in sets], [bands(s) for s in sets]]
+        return [columns[0], columns[1], [node_of(s) for s in sets], [mark(s) for s in sets]]
 
-    found = materialize(map_texts(keyed, ["doc_id", row, "text"], lambda: step, "doc_id long, rep long, node long, keys array<long>"), "nodes")
+    found = materialize(map_texts(keyed, ["doc_id", row, "text"], lambda: step, f"doc_id long, rep long, node long, keys {kind}"), "nodes")
     named = F.col("doc_id").isNotNull()
     nodes = found.groupBy("node").agg(F.min(F.when(named, F.struct("doc_id", "rep"))).alias("first"), F.min("rep").alias("rep"), F.first("keys").alias("keys"))
     nodes = materialize(nodes, "classes")
-    roots = materialize(connected_components(links(nodes, keyed.select(F.col(row).alias("rep"), "text"))), "roots")
+    roots = materialize(connected_components(propose(nodes, keyed.select(F.col(row).alias("rep"), "text"), n)), "roots")
     rooted = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = rooted.where("first is not null").select(F.col("first.rep").alias(row)).union(found.where(~named).select(F.col("rep").alias(row)))
     return keyed.join(kept, row, "left_semi").select(*docs.columns)

@@ -11,12 +11,19 @@ emit a quadratic number of pairs. Its fingerprints are linked exactly in another
 within two bits of each other if and only if changing at most one bit of each leads to a common value, so each meets the
 others at those values. For more bits: the bucket is dealt into parts, each pair of parts is compared as one bounded
 group of work, and only a spanning forest of the links is returned.
+
+Sets of 5-word shingles with a similarity of 0.8 differ in 0.15 of the bits of their SimHashes, too many for 64 bits: the
+blocks that must agree would be of one or two bits. keep_similar() takes wide fingerprints instead, of a hundred and
+more blocks. What differs in fewer bits than there are blocks agrees in one of them for certain; a pair of the least
+similarity does with a probability of 1 - MISS. What agrees in a block is compared by the Hamming distance of the
+first bits, and what is within that by its shingles.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from collections.abc import Iterator
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import minhash
 from .common import connected_components, forest, fresh, map_texts, materialize
 
 BITS = 64
@@ -33,6 +41,23 @@ FEW = 12
 PART = 4096
 #: Shingles whose bits are counted together.
 RUN = 1 << 15
+#: Differing bits of sets with a similarity of 0.8, as a share: acos(8/9) / pi, and more for sets of few shingles.
+SHARE = 0.157
+#: The chance that such sets agree in no block.
+MISS = 1e-4
+#: By chance so many sets share a block's value, as a power of two; more than CROWD of them are compared by parts.
+LOAD, CROWD = 3, 32
+#: The first bits of a wide fingerprint that are compared (two longs), and how many may differ: 4.5 deviations above the
+#: mean of the sets that differ most, those of 5 and 4 shingles (0.1875).
+FIRST, NEAR = 128, 44
+#: Shingles whose bits are counted in bytes.
+BYTES = 255
+
+_draw = np.random.default_rng(23)
+#: By 64 bits of a wide fingerprint: what a shingle's hash is mixed with.
+_FLIPS, _FACTORS = (_draw.integers(0, 1 << 64, 512, np.uint64) for _ in range(2))
+_FACTORS |= np.uint64(1)
+_LANES = np.uint64(0x0101010101010101)
 
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
@@ -168,3 +193,124 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     chosen = docs.join(kept, F.col("doc_id") == F.col(kept_id)).drop(kept_id)
     chosen = chosen.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where(F.col(rank) == 1).drop(rank)
     return chosen.union(docs.where("doc_id is null"))
+
+
+def wide_blocks(n: int) -> tuple[int, int]:
+    """For n sets the bits of a block, and how many blocks there are."""
+    bits = min(max(math.ceil(math.log2(max(n, 2))) - LOAD, 8), 24)
+    return bits, math.ceil(math.log(MISS) / math.log(1 - (1 - SHARE) ** bits))
+
+
+def wide(own: np.ndarray, longs: int) -> bytes:
+    """The SimHash of a set of shingles' hashes in 64 * longs bits: 1 where over half of them have a 1; none of no shingles."""
+    if not len(own):
+        return b""
+    ones = np.zeros((8, 8 * longs), np.int64)
+    for i in range(0, len(own), BYTES):
+        x = (own[i : i + BYTES, None] ^ _FLIPS[:longs]) * _FACTORS[:longs]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9FB21C651E98DF25)
+        x ^= x >> np.uint64(29)
+        for bit in range(8):
+            ones[bit] += ((x >> np.uint64(bit)) & _LANES).sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return np.packbits(2 * ones.T > len(own)).tobytes()
+
+
+def block_rows(nodes: DataFrame, bits: int, blocks: int) -> DataFrame:
+    """(key, node, x, y) of (node, keys: a wide fingerprint): a row for each block, x and y being the first bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, at = 1 << np.arange(bits)[::-1], np.arange(blocks)[None, :] << bits
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                rows = [(n, k) for n, k in zip(*(c.to_pylist() for c in batch.slice(i, 512).columns), strict=True) if k]
+                if not rows:
+                    continue
+                node, prints = np.array([n for n, _ in rows], np.int64), np.frombuffer(b"".join(k for _, k in rows), np.uint8).reshape(len(rows), -1)
+                every = np.unpackbits(prints, axis=1)[:, : bits * blocks].reshape(-1, blocks, bits)
+                first = np.ascontiguousarray(prints[:, : FIRST // 8]).view(np.int64)
+                out = (every @ powers + at).ravel(), np.repeat(node, blocks), np.repeat(first[:, 0], blocks), np.repeat(first[:, 1], blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64, copy=False)) for c in out], ["key", "node", "x", "y"])
+
+    return nodes.select("node", "keys").mapInArrow(run, "key long, node long, x long, y long")
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """(key, a, b) of block_rows(): pairs a, b of a key within NEAR; all a of keys that more than CROWD share, b being null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = [np.zeros(0, np.int64)] * 4
+        left, crowd = none, None  # the rows of the last key, and the key of the crowd that goes on
+        for batch in chain(batches, (None,)):
+            own = none if batch is None else [c.to_numpy() for c in batch.columns]
+            key, node, x, y = rows = [np.concatenate(c) for c in zip(left, own, strict=True)]
+            if not len(key):
+                continue
+            end = int(np.searchsorted(key, key[-1]))
+            if batch is None or len(key) - end > CROWD:
+                end = len(key)
+            left = [c[end:] for c in rows]
+            key, node, x, y = (c[:end] for c in rows)
+            if not end:
+                continue
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            sizes = np.diff(starts, append=end)
+            crowded = (sizes > CROWD) | (key[starts] == crowd if crowd is not None else False)
+            crowd = key[-1] if crowded[-1] else None
+            if crowded.any():
+                at = np.flatnonzero(np.repeat(crowded, sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(node[at]), pa.nulls(len(at), pa.int64())], ["key", "a", "b"])
+            key, node, x, y = (c[np.repeat(~crowded, sizes)] for c in (key, node, x, y))
+            for lag in range(1, min(CROWD, len(key))):
+                at = np.flatnonzero(key[lag:] == key[:-lag])
+                if not len(at):
+                    break
+                to = at + lag
+                hit = sum(np.bitwise_count((c[at] ^ c[to]).view(np.uint64)) for c in (x, y)) <= NEAR
+                at, to = at[hit], to[hit]
+                if len(at):
+                    pair = np.minimum(node[at], node[to]), np.maximum(node[at], node[to])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[at]), *map(pa.array, pair)], ["key", "a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long")
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of pairs (a, b) whose sets (node, shingles) reach the similarity exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        num, den = minhash.LEAST
+        for batch in batches:
+            hit = []
+            for s, t in zip(batch.column(2), batch.column(3), strict=True):
+                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (s, t))
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                hit.append(den * both >= num * (len(s) + len(t) - both))
+            yield batch.select([0, 1]).filter(pa.array(hit, pa.bool_()))
+
+    a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("a", "b"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Edges (a, b) between nodes: all pairs that agree in a block and reach the similarity are connected by them.
+
+    nodes: (node, rep, keys: wide fingerprints for n sets). texts: (rep, text), at least for the nodes' reps.
+    """
+    found = materialize(met(block_rows(nodes, *wide_blocks(n))), "met")
+    pairs = materialize(found.where("b is not null").select("a", "b").distinct(), "pairs")
+    members = minhash.met(found.where("b is null").select(F.col("a").alias("node"), "key"))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node"))
+    sets = minhash.sets_of(wanted, nodes, texts)
+    return similar(pairs, sets).union(minhash.crowds(members, sets))
+
+
+def keep_similar(docs: DataFrame) -> DataFrame:
+    """The rows of docs without near-duplicates (minhash.keep_by), proposed by blocks of wide SimHashes."""
+
+    def marker(n: int):
+        bits, blocks = wide_blocks(n)
+        longs = -(-max(bits * blocks, FIRST) // BITS)
+        return lambda own: wide(own, longs)
+
+    return minhash.keep_by(docs, marker, "binary", similar_links)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytewright.llm import decontaminate, minhash, mixing, pii, toxicity
+from bytewright.llm import decontaminate, mixing, pii, simhash, toxicity
 from bytewright.llm.common import materialize, table
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null, empty and blank texts are copies of each other; rows without an id stay.
     """
-    return minhash.keep_one(docs)
+    return simhash.keep_similar(docs)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -133,6 +133,36 @@ class TestNearDuplicates:
         stage = corpus_pipeline.near_duplicates(spark, docs(spark, texts), "")
         assert {r.doc_id for r in stage.collect()} == kept
 
+    @pytest.mark.parametrize("crowd", [32, 3])
+    def test_the_stage_takes_simhash_blocks(self, spark, monkeypatch, crowd):
+        def no_bands(own):
+            raise AssertionError("proposed by minhashes")
+
+        monkeypatch.setattr(minhash, "bands", no_bands)
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        draw = random.Random(9)
+        texts = []
+        for i in range(40):  # 45 shingles, of which the copy has 40 and none or 4 of its own: at and just below 0.8
+            words = [f"w{draw.randrange(10**6)}" for _ in range(49)]
+            texts += [" ".join(words), " ".join(words[: 44 - i % 2] + [f"x{draw.randrange(10**6)}" for _ in range(5)])]
+        words = [f"c{j}" for j in range(104)]
+        texts += [" ".join(words + [f"y{i}"]) for i in range(60)]  # a crowd
+        sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+        edges = [(a, b) for a, b in combinations(range(len(texts)), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+        assert len(edges) == 20 + 60 * 59 // 2
+        wanted = components(range(len(texts)), edges)
+        kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs(spark, texts), "").collect()}
+        assert kept == {i for i, c in wanted.items() if i == c}
+
+    def test_wide_fingerprints_against_brute_force(self):
+        rng = np.random.default_rng(2)
+        for n in (1, 4, 255, 256, 700):
+            own = rng.integers(0, 1 << 64, n, np.uint64)
+            single = np.array([np.unpackbits(np.frombuffer(simhash.wide(own[i : i + 1], 3), np.uint8)) for i in range(n)], int)
+            want = 2 * single.sum(axis=0) > n
+            assert (np.unpackbits(np.frombuffer(simhash.wide(own, 3), np.uint8)) == want).all()
+        assert simhash.wide(own[:0], 3) == b""
+
     def test_rows_that_repeat_an_id(self, spark):
         texts = ["a b c d e f g", "h i j k l m n", "a b c d e f g"]
         df = docs(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") < 2, 7).otherwise(9).cast("long"))
