@@ -356,6 +356,26 @@ class TestPages:
             covered = {k + j for k in range(len(own) - run + 1) if tuple(own[k : k + run]) in grams for j in range(run)}
             assert r.text == (" ".join(w for k, w in enumerate(own) if k not in covered) or " ".join(own))
 
+    def test_longest_repeats_of_a_suffix_array(self):
+        draw = random.Random(8)
+        for run in (1, 2, 3):
+            pages = [[draw.choice("ab") for _ in range(draw.randint(0, 9))] for _ in range(5)]
+            every = {}
+            for page, tokens in enumerate(pages):
+                for i in range(len(tokens)):
+                    every.setdefault((f"h{page % 2}", " ".join(tokens[i : i + 6])), set()).add(page)
+            rows = [(*k, min(v), max(v)) for k, v in sorted(every.items())]
+
+            def want(host, suffix):
+                own = every[host, suffix]
+                return max((html_text.common(s.split(), suffix.split()) for (h, s), v in every.items() if h == host and len(v | own) > 1), default=0)
+
+            got = {(h, s): n for h, s, n in html_text.longest(rows, run)}
+            assert got == {k: n for k in every if (n := want(*k)) >= run}
+        rows = [("h", "a b c", 1, 1), ("h", "a b d", 1, 1), ("h", "a c", 2, 2), ("i", "a c", 3, 3)]
+        assert list(html_text.longest(rows, 1)) == [("h", "a b d", 1), ("h", "a b c", 1), ("h", "a c", 1)]
+        assert list(html_text.longest(rows, 2)) == []
+
 
 class TestTokenCounts:
     @pytest.fixture(scope="class")
