@@ -16,14 +16,16 @@ Sets of 5-word shingles with a similarity of 0.8 differ in 0.15 of the bits of t
 blocks that must agree would be of one or two bits. keep_similar() takes wide fingerprints instead, of a hundred and
 more blocks. What differs in fewer bits than there are blocks agrees in one of them for certain; a pair of the least
 similarity does with a probability of 1 - MISS. What agrees in a block is compared by the Hamming distance of the
-first bits, and what is within that by its shingles.
+first bits, and what is within that by its shingles. Blocks are read in passes, of which each has its shuffle files to
+itself, and pairs are compared in groups to which a text travels once, not once for each of its pairs.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import chain, combinations
+from functools import reduce
+from itertools import chain, combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import connected_components, forest, fresh, map_texts, materialize
+from .common import connected_components, forest, fresh, give_back, map_texts, materialize, remove, slices
 
 BITS = 64
 #: Choices of blocks up to which a pair that several of them find is emitted once only.
@@ -47,9 +49,15 @@ SHARE = 0.157
 MISS = 1e-4
 #: By chance so many sets share a block's value, as a power of two; more than CROWD of them are compared by parts.
 LOAD, CROWD = 3, 32
-#: The first bits of a wide fingerprint that are compared (two longs), and how many may differ: 4.5 deviations above the
+#: The first bits of a wide fingerprint that are compared (four longs), and how many may differ: 4.5 deviations above the
 #: mean of the sets that differ most, those of 5 and 4 shingles (0.1875).
-FIRST, NEAR = 128, 44
+FIRST, NEAR = 256, 76
+#: As columns of longs.
+_PRINT = [f"x{i}" for i in range(FIRST // BITS)]
+#: Blocks whose values are dealt out in one pass.
+PASS = 64
+#: Pairs that are compared together; they have twice as many sets at most.
+PAIRS = 1024
 #: Shingles whose bits are counted in bytes.
 BYTES = 255
 
@@ -216,41 +224,58 @@ def wide(own: np.ndarray, longs: int) -> bytes:
     return np.packbits(2 * ones.T > len(own)).tobytes()
 
 
-def block_rows(nodes: DataFrame, bits: int, blocks: int) -> DataFrame:
-    """(key, node, x, y) of (node, keys: a wide fingerprint): a row for each block, x and y being the first bits."""
+def sized(own: np.ndarray, longs: int) -> bytes:
+    """wide() and, as the last long, how many shingles there are; none of no shingles."""
+    return wide(own, longs) + len(own).to_bytes(8, "little") if len(own) else b""
+
+
+def block_rows(nodes: DataFrame, bits: int, low: int, high: int) -> DataFrame:
+    """(key, node, size, x0..) of (node, keys: sized()): a row for each block from low to high, x0.. being the first bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, at = 1 << np.arange(bits)[::-1], np.arange(blocks)[None, :] << bits
+        powers, at = 1 << np.arange(bits)[::-1], np.arange(low, high)[None, :] << bits
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 rows = [(n, k) for n, k in zip(*(c.to_pylist() for c in batch.slice(i, 512).columns), strict=True) if k]
                 if not rows:
                     continue
                 node, prints = np.array([n for n, _ in rows], np.int64), np.frombuffer(b"".join(k for _, k in rows), np.uint8).reshape(len(rows), -1)
-                every = np.unpackbits(prints, axis=1)[:, : bits * blocks].reshape(-1, blocks, bits)
-                first = np.ascontiguousarray(prints[:, : FIRST // 8]).view(np.int64)
-                out = (every @ powers + at).ravel(), np.repeat(node, blocks), np.repeat(first[:, 0], blocks), np.repeat(first[:, 1], blocks)
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64, copy=False)) for c in out], ["key", "node", "x", "y"])
+                every = np.unpackbits(prints, axis=1)[:, bits * low : bits * high].reshape(-1, high - low, bits)
+                size, first = (np.ascontiguousarray(c).view(np.int64) for c in (prints[:, -8:], prints[:, : FIRST // 8]))
+                out = (every @ powers + at).ravel(), *(np.repeat(c, high - low) for c in (node, size[:, 0], *first.T))
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64, copy=False)) for c in out], ["key", "node", "size", *_PRINT])
+
+    return nodes.select("node", "keys").mapInArrow(run, ", ".join(f"{c} long" for c in ["key", "node", "size", *_PRINT]))
+
+
+def first_blocks(bits: int) -> np.ndarray:
+    """For each block of bits that lies in the first bits of a wide fingerprint, a mask of longs."""
+    own = np.arange(FIRST)[None, :] // bits == np.arange(FIRST // bits)[:, None]
+    return np.packbits(own, axis=1).view(np.int64)
 
-    return nodes.select("node", "keys").mapInArrow(run, "key long, node long, x long, y long")
 
+def met(rows: DataFrame, bits: int) -> DataFrame:
+    """(key, a, b) of block_rows(): pairs a, b of a key within NEAR; all a of keys that more than CROWD share, b being null.
 
-def met(rows: DataFrame) -> DataFrame:
-    """(key, a, b) of block_rows(): pairs a, b of a key within NEAR; all a of keys that more than CROWD share, b being null."""
+    Sets that are too unlike in size to reach the similarity are no pair.
+
+    Of the keys that a pair agrees on, those after one of first_blocks() leave it out: it is a pair or in a crowd there.
+    """
+    masks, (num, den) = first_blocks(bits), minhash.LEAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = [np.zeros(0, np.int64)] * 4
+        none = [np.zeros(0, np.int64)] * (3 + len(_PRINT))
         left, crowd = none, None  # the rows of the last key, and the key of the crowd that goes on
         for batch in chain(batches, (None,)):
             own = none if batch is None else [c.to_numpy() for c in batch.columns]
-            key, node, x, y = rows = [np.concatenate(c) for c in zip(left, own, strict=True)]
+            key, node, size, *first = rows = [np.concatenate(c) for c in zip(left, own, strict=True)]
             if not len(key):
                 continue
             end = int(np.searchsorted(key, key[-1]))
             if batch is None or len(key) - end > CROWD:
                 end = len(key)
             left = [c[end:] for c in rows]
-            key, node, x, y = (c[:end] for c in rows)
+            key, node, size, *first = (c[:end] for c in rows)
             if not end:
                 continue
             starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -260,14 +285,21 @@ def met(rows: DataFrame) -> DataFrame:
             if crowded.any():
                 at = np.flatnonzero(np.repeat(crowded, sizes))
                 yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(node[at]), pa.nulls(len(at), pa.int64())], ["key", "a", "b"])
-            key, node, x, y = (c[np.repeat(~crowded, sizes)] for c in (key, node, x, y))
+            key, node, size, *first = (c[np.repeat(~crowded, sizes)] for c in (key, node, size, *first))
             for lag in range(1, min(CROWD, len(key))):
                 at = np.flatnonzero(key[lag:] == key[:-lag])
                 if not len(at):
                     break
                 to = at + lag
-                hit = sum(np.bitwise_count((c[at] ^ c[to]).view(np.uint64)) for c in (x, y)) <= NEAR
-                at, to = at[hit], to[hit]
+                alike = (den * size[at] >= num * size[to]) & (den * size[to] >= num * size[at])
+                at, to = at[alike], to[alike]
+                apart = np.stack([c[at] ^ c[to] for c in first], axis=1)
+                hit = np.bitwise_count(apart.view(np.uint64)).sum(axis=1) <= NEAR
+                at, to, apart = at[hit], to[hit], apart[hit]
+                new = np.ones(len(at), bool)
+                for block, mask in enumerate(masks):
+                    new &= (key[at] >> bits <= block) | (apart & mask).any(axis=1)
+                at, to = at[new], to[new]
                 if len(at):
                     pair = np.minimum(node[at], node[to]), np.maximum(node[at], node[to])
                     yield pa.RecordBatch.from_arrays([pa.array(key[at]), *map(pa.array, pair)], ["key", "a", "b"])
@@ -275,34 +307,75 @@ def met(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long")
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of pairs (a, b) whose sets (node, shingles) reach the similarity exactly."""
+def groups_of(pairs: DataFrame) -> DataFrame:
+    """(key, part, node, to) of pairs (a, b): each pair is in one group (key, part), with b in the list to of a's row.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A pair goes to the smallest partner of its b, so near copies of each other are one group, and a node is in one more
+    group than it has larger partners at most. Groups have some PAIRS pairs at most: larger ones are dealt into parts.
+    """
+    keyed = pairs.join(pairs.groupBy("b").agg(F.min("a").alias("key")), "b")
+    sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / PAIRS).alias("parts"))
+    dealt = keyed.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("a", "b"), "parts"))
+    ends = dealt.select("key", "part", F.col("a").alias("node"), F.col("b").alias("to")).union(dealt.select("key", "part", "b", F.lit(None).cast("long")))
+    return ends.groupBy("key", "part", "node").agg(F.collect_list("to").alias("to"))
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of pairs (a, b), no pair twice, whose sets of shingles reach the similarity exactly.
+
+    nodes: (node, rep). texts: (rep, text).
+    """
+    grouped = materialize(groups_of(pairs).join(nodes.select("node", "rep"), "node"), "grouped")
+    rows = texts.join(grouped, "rep").select("key", "part", "node", "to", F.col("text").cast("binary").alias("text"))
+
+    def reached(held: dict) -> list[tuple[int, int]]:
         num, den = minhash.LEAST
-        for batch in batches:
-            hit = []
-            for s, t in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (s, t))
+        hit = []
+        for a, (s, to) in held.items():
+            for b in to:
+                t = held[b][0]
                 both = len(np.intersect1d(s, t, assume_unique=True))
-                hit.append(den * both >= num * (len(s) + len(t) - both))
-            yield batch.select([0, 1]).filter(pa.array(hit, pa.bool_()))
+                if den * both >= num * (len(s) + len(t) - both):
+                    hit.append((a, b))
+        return hit
 
-    a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("a", "b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = {}, None  # a group's sets by node, and what each is compared with
+        for batch in chain(batches, (None,)):
+            hit = []
+            for some in slices(batch, 4) if batch is not None else ():
+                for key, part, node, to, text in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                    if (key, part) != now:
+                        hit += reached(held)
+                        held, now = {}, (key, part)
+                    held[node] = minhash.shingles(text), to
+            if batch is None:
+                hit += reached(held)
+            if hit:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*hit, strict=True)], ["a", "b"])
+        del held
+        give_back()
+
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a long, b long")
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """Edges (a, b) between nodes: all pairs that agree in a block and reach the similarity are connected by them.
 
-    nodes: (node, rep, keys: wide fingerprints for n sets). texts: (rep, text), at least for the nodes' reps.
+    nodes: (node, rep, keys: sized() fingerprints for n sets). texts: (rep, text), at least for the nodes' reps.
     """
-    found = materialize(met(block_rows(nodes, *wide_blocks(n))), "met")
+    bits, blocks = wide_blocks(n)
+    ends = np.linspace(0, blocks, -(-blocks // PASS) + 1).astype(int).tolist()
+    passes = [materialize(met(block_rows(nodes, bits, low, high), bits), "met") for low, high in pairwise(ends)]
+    found = reduce(DataFrame.union, passes)
     pairs = materialize(found.where("b is not null").select("a", "b").distinct(), "pairs")
     members = minhash.met(found.where("b is null").select(F.col("a").alias("node"), "key"))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node"))
-    sets = minhash.sets_of(wanted, nodes, texts)
-    return similar(pairs, sets).union(minhash.crowds(members, sets))
+    for own in passes:
+        remove(own)
+    links = materialize(similar(pairs, nodes, texts), "links")
+    if not members.take(1):
+        return links
+    return links.union(minhash.crowds(members, minhash.sets_of(members.select("node"), nodes, texts)))
 
 
 def keep_similar(docs: DataFrame) -> DataFrame:
@@ -311,6 +384,6 @@ def keep_similar(docs: DataFrame) -> DataFrame:
     def marker(n: int):
         bits, blocks = wide_blocks(n)
         longs = -(-max(bits * blocks, FIRST) // BITS)
-        return lambda own: wide(own, longs)
+        return lambda own: sized(own, longs)
 
     return minhash.keep_by(docs, marker, "binary", similar_links)

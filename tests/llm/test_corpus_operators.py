@@ -154,6 +154,33 @@ class TestNearDuplicates:
         kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs(spark, texts), "").collect()}
         assert kept == {i for i, c in wanted.items() if i == c}
 
+    @pytest.mark.parametrize("most", [1024, 50])
+    def test_texts_travel_once_and_not_with_each_pair(self, spark, monkeypatch, most):
+        monkeypatch.setattr(simhash, "PAIRS", most, raising=False)
+        draw = random.Random(4)
+        texts = []
+        for _ in range(10):
+            words = [f"w{draw.randrange(10**9)}" for _ in range(300)]
+            texts += [" ".join(words + [f"y{i}"]) for i in range(30)]  # no crowd: 435 pairs
+
+        def written():
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+            every = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+            return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+        df = materialize(docs(spark, texts), "docs")
+        before, joined = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joined)
+        assert kept == list(range(0, 300, 30))
+        moved = (written() - before) / sum(map(len, texts))
+        print("shuffled times the texts:", moved)
+        if most == 1024:
+            assert moved < 2.5
+
     def test_wide_fingerprints_against_brute_force(self):
         rng = np.random.default_rng(2)
         for n in (1, 4, 255, 256, 700):
