@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean, give_back, materialize, remove, slices
+from .common import clean, give_back, lean, materialize, remove, slices
 from .toxicity import crc_mod
 
 #: Words, states and successors in the caches, the most frequent ones.
@@ -83,8 +83,12 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ordered = keys[order]
     new = np.ones(len(keys), bool)
     np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    del ordered
     at = np.flatnonzero(new)
-    return order[at], np.diff(at, append=len(keys))
+    del new
+    first = order[at]
+    del order
+    return first, np.diff(at, append=len(keys))
 
 
 def handed(held: list[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -270,6 +274,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     """(h, n): how often each word, by its hash, and the end occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         held: list[list[np.ndarray]] = []
         size = 0
         for batch in batches:
@@ -323,6 +328,7 @@ def count_successors(texts: DataFrame, low: int, high: int, may: object, least:
     longs = -(-(high + 1) // 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         short: list[list[np.ndarray]] = []
         wide: list[list[np.ndarray]] = []
         lets, numbers, size = may(), Numbers(frequent.value[0]), 0
@@ -352,6 +358,7 @@ def count_successors(texts: DataFrame, low: int, high: int, may: object, least:
         give_back()
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         words = Numbers(frequent.value[0]).words
         for batch in batches:
             *held, n = (x.to_numpy() for x in batch.columns)
@@ -506,6 +513,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = ", ".join(["d int", "row long", *(f"{w} long" for w in names), "c long", "n long", "doc_id long", "n_tokens long", "base double", "added double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         cache = Cache.opened(send.value)
         z = np.log10(base_total)
 

@@ -4,9 +4,14 @@ import base64
 import math
 import random
 import re
+import subprocess
+import sys
+import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -432,6 +437,35 @@ class TestTokenCounts:
 
 
 class TestSuffixTree:
+    def test_counting_keys_holds_few_copies(self):
+        keys = np.random.default_rng(3).permutation(200_000)
+        tracemalloc.start()
+        try:
+            first, n = suffix_tree.distinct(keys)
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert (keys[first] == np.arange(len(keys))).all() and (n == 1).all()
+        assert peak < 40 * len(keys)
+
+    def test_workers_give_freed_arrays_back(self):
+        code = """
+import numpy as np
+from bytewright.llm import common
+getattr(common, "lean", lambda: None)()
+def resident():
+    return int(open("/proc/self/statm").read().split()[1]) * 4096
+def full(mb):
+    return np.ones(mb << 20, np.int8)
+full(24)
+before = resident()
+x = full(20)
+del x
+print(resident() - before)
+"""
+        done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+        assert int(done.stdout) < 4 << 20
+
     def corpus(self, spark):
         draw = random.Random(9)
         after = {w: draw.sample("abcde", 2) for w in "abcde"}
