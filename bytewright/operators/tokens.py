@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from functools import cached_property
 
@@ -18,6 +19,8 @@ from bytewright.plans.native import is_deterministic, is_regular, java_pattern,
 from bytewright.plans.regex import Regex, alt
 
 _PREFIX = "token "
+#: Tokens, and about how many bytes of text, that a task holds at a time beside the batch that it reads.
+BLOCK, BLOCK_BYTES = 20_000, 1 << 20
 
 
 class Tokenizer:
@@ -84,37 +87,76 @@ def tokenize(df: DataFrame, text: str, tokenizer: Tokenizer, keys: Iterable[str]
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         program = TokenProgram(machine, _PREFIX, quick)
         label = pa.array(names) if names else None
-        for batch in batches:
-            column = batch.column(len(kept))
-            found: list[tuple[int, int, int]] = []
-            counts, pieces = [], []
-            first = 0
-
-            def made(upto: int) -> pa.RecordBatch:
-                n = np.array(counts, np.int64)
-                table = np.array(found, np.int64).reshape(-1, 3)
-                owner = np.repeat(np.arange(first, upto), n)
-                seq = np.arange(len(table)) - np.repeat(np.cumsum(n) - n, n) + 1
-                token = pa.array(table[:, 2].astype(np.int32))
+        while (batch := next(batches, None)) is not None:
+            for owner, *found, piece in _blocks(program, batch.column(len(kept)), texts):
+                seq, start, n, token = map(pa.array, found)
                 columns = [batch.column(i).take(pa.array(owner)) for i in range(len(kept))]
-                columns += [pa.array(seq.astype(np.int32)), pa.array(table[:, 0]), pa.array(table[:, 1].astype(np.int32)), label.take(token) if names else token]
+                columns += [seq, start, n, label.take(token) if names else token]
                 if texts:
-                    columns.append(pa.array(pieces, pa.string()))
-                found.clear()
-                counts.clear()
-                pieces.clear()
-                return pa.RecordBatch.from_arrays(columns, schema=arrow)
-
-            for i in range(batch.num_rows):
-                data = column[i].as_py()
-                own = program.tokens(data) if data else []
-                found += own
-                counts.append(len(own))
-                if texts:
-                    pieces += [data[s - 1 : s - 1 + n].decode("utf-8", "replace") for s, n, _ in own]
-                if len(found) > 200_000:
-                    yield made(i + 1)
-                    first = i + 1
-            yield made(batch.num_rows)
+                    columns.append(piece)
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+                del owner, found, piece, seq, start, n, token, columns
+            del batch  # before the next one comes
 
     return source.mapInArrow(rows, schema)
+
+
+def _blocks(program: TokenProgram, column: pa.Array, texts: bool) -> Iterator[tuple]:
+    """(owner, seq, start, len, token, piece) of the tokens of a column, at most BLOCK of them at a time.
+
+    A long text is cut between tokens, and a block ends with the text that takes it to BLOCK_BYTES.
+    """
+    ends, tokens = array("q"), array("i")
+    parts: list[tuple[int, int, int, int]] = []  # row, its first token in the block, seq and end of the token before
+    held: list[bytes] = []
+    size = 0
+
+    def made() -> tuple:
+        nonlocal size
+        end, token = np.array(ends, np.int64), np.array(tokens, np.int32)
+        row, first, before, at = np.array(parts, np.int64).T
+        n = np.diff(first, append=len(end))
+        start = np.empty_like(end)
+        start[1:] = end[:-1]
+        some = n > 0  # a text that took up a whole block leaves none to the next
+        start[first[some]] = at[some]
+        seq = np.arange(1, len(end) + 1) - np.repeat(first - before, n)
+        piece = None
+        if texts:
+            offsets = np.zeros(len(end) + 1, np.int32)
+            np.cumsum(end - start, out=offsets[1:])
+            piece = _decoded(pa.Array.from_buffers(pa.binary(), len(end), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(held))]))
+        out = np.repeat(row, n), seq.astype(np.int32), start + 1, (end - start).astype(np.int32), token, piece
+        del ends[:], tokens[:], parts[:], held[:]
+        size = 0
+        return out
+
+    for i in range(len(column)):
+        data = column[i].as_py()
+        if not data:
+            continue
+        cut = seq = 0  # end and number of the token that ended the last block
+        parts.append((i, len(ends), seq, cut))
+        for end, token in program.ends(data):
+            ends.append(end)
+            tokens.append(token)
+            if len(ends) == BLOCK:
+                seq += BLOCK - parts[-1][1]
+                held.append(data[cut:end])
+                cut = end
+                yield made()
+                parts.append((i, 0, seq, cut))
+        if cut < len(data):
+            held.append(data[cut:])
+            size += len(data) - cut
+        if size >= BLOCK_BYTES:
+            yield made()
+    if ends:
+        yield made()
+
+
+def _decoded(pieces: pa.Array) -> pa.Array:
+    try:
+        return pieces.cast(pa.string())
+    except pa.ArrowInvalid:  # a token cuts a character in two, or the bytes are no text
+        return pa.array([x.decode("utf-8", "replace") for x in pieces.to_pylist()], pa.string())

@@ -279,6 +279,66 @@ class TestQuickTokens:
             tokenize(df.withColumnRenamed("k", "len"), "t", Tokenizer(["a"]), ["len"])
 
 
+class TestBlocksOfTokens:
+    """What a task holds doesn't grow with the tokens of a batch or of a text."""
+
+    TOKENS = [("word", "[A-Za-z]+"), ("number", "[0-9]+"), ("blank", "[ \t\n]+")]
+    OVERLAPPING = [("word", "[a-z]+"), ("if", "if"), ("blank", " +")]
+
+    @staticmethod
+    def peak(run):
+        import tracemalloc
+
+        tracemalloc.start()
+        try:
+            return run(), tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    @pytest.mark.parametrize("tokens", [TOKENS, OVERLAPPING])
+    def test_memory_of_a_long_text(self, tokens):
+        own = Tokenizer(tokens)
+        assert (own.quick is None) == (tokens is self.OVERLAPPING)
+        n, mb = self.peak(lambda: sum(1 for _ in own.program().tokens(b"if ab 1 " * 20_000)))
+        assert n == 120_000
+        assert mb < 2
+
+    @pytest.mark.parametrize("rows", [[b"ab 1 " * 80_000], [b"ab 1 " * 40] * 2_000])
+    def test_memory_of_a_batch(self, texts, monkeypatch, rows):
+        import pyarrow as pa
+
+        df, given = texts([""]), []
+        monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: given.append(f))
+        tokenize(df, "t", Tokenizer(self.TOKENS), texts=True)
+        batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["text"])
+        sizes, mb = self.peak(lambda: [b.num_rows for b in given[0](iter([batch]))])
+        assert sum(sizes) == 320_000
+        assert max(sizes) <= 20_000
+        assert mb < 8
+
+    @pytest.mark.parametrize("block, block_bytes", [(1, 1), (2, 1000), (3, 4), (1000, 1), (1000, 1000)])
+    def test_tokens_across_blocks(self, spark, monkeypatch, block, block_bytes):
+        from bytewright.operators import tokens as operator
+
+        rows = [(1, "one two  3"), (2, None), (3, ""), (4, "a1"), (5, "a1b2c3 <é> ??"), (6, "é"), (7, "x y z")]
+        own = Tokenizer([("left", "[\\xc3]"), ("word", "[a-z]+"), ("digit", "[0-9]")])
+        wanted = [(k, i, s, n, t, text.encode()[s - 1 : s - 1 + n].decode("utf-8", "replace")) for k, text in rows if text for i, (s, n, t) in enumerate(own.tokens(text), 1)]
+        monkeypatch.setattr(operator, "BLOCK", block)
+        monkeypatch.setattr(operator, "BLOCK_BYTES", block_bytes)
+        df = spark.createDataFrame(rows, "k int, t string").coalesce(1)
+        assert [tuple(r) for r in tokenize(df, "t", own, ["k"], texts=True).orderBy("k", "seq").collect()] == wanted
+        assert [tuple(r) for r in tokenize(df, "t", own, ["k"]).orderBy("k", "seq").collect()] == [w[:-1] for w in wanted]
+
+    def test_where_the_machine_takes_over(self):
+        """From the first token that begins and doesn't end."""
+        own = Tokenizer([("text", "[^<&]+"), ("tag", "<[^>]*>"), ("entity", "&[a-z]+;")])
+        assert own.quick
+        assert own.tokens("a<b>&c;&d e<f") == [(1, 1, "text"), (2, 3, "tag"), (5, 3, "entity"), (8, 1, "error"), (9, 3, "text"), (12, 2, "error")]
+        program = own.program()
+        assert program._quickly(b"a<b>&d e") is None
+        assert list(program.tokens(b"a<b>&d e")) == program._stepwise(b"a<b>&d e")
+
+
 def test_files_of_several_frames(spark, tmp_path):
     import zstandard
 
